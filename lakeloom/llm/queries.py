@@ -5,21 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import simhash
+from lakeloom.llm import mixing, quality, simhash
+from lakeloom.llm import sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of whole texts, the base rules and the verdict of the whole rule table."""
+    q = F.col("quality")
+    base = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    return quality.judged(_documents(spark, sf_dir)).select(
+        "doc_id",
+        *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        base.alias("base_failed"),
+        (~base & (F.size("broken") == 0)).alias("kept"),
+        F.array_join("broken", ",").alias("broken_rules"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of whole texts: 4-word shingles, 4 differing bits."""
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a systematic sample takes of every document, sources mixed to their targets."""
+    return mixing.mix(_documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op6_mixing": op6_mixing,
     "op2_simhash": op2_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality": sql.quality(),
+    "op6_mixing": sql.mixing(),
+}
