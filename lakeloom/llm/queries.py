@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import mixing, quality, simhash
-from lakeloom.llm import sql
+from lakeloom.llm import linededup, mixing, pieces, quality, simhash, sql, tokencount, tokenfile
+
+
+#: Where the public vocabularies lie; a parameter of each operator.
+TOKENIZERS = "/opt/tokenizers"
+TOKEN_LIMIT = 2048
+
+
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +45,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole texts of which a near copy is kept elsewhere: 9-character shingles, similarity 0.8."""
+    found = linededup.decisions(_documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole texts, and the longest prefix within the limit."""
+    found = tokencount.token_counts(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), TOKEN_LIMIT)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col("within").alias("chars_within_limit"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a systematic sample takes of every document, sources mixed to their targets."""
     return mixing.mix(_documents(spark, sf_dir)).select(
@@ -39,9 +64,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation of whole texts, its lead over the second best, and whether decoding gives the text back."""
+    found = pieces.segmented(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_pieces", "score", "margin", "ids_crc32", "exact")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from range-coded token files."""
+    files = tokenfile.write_corpus(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return tokenfile.read_corpus(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
     "op6_mixing": op6_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_files": op10_token_files,
     "op2_simhash": op2_simhash,
 }
 
