@@ -77,7 +77,7 @@ def encoder_of(path: str) -> Encoder:
 
 def partitions_for(docs: DataFrame) -> int:
     """Partitions such that one holds about ``PARTITION_BYTES`` of the input, by the plan's own statistics."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(min(max(size // PARTITION_BYTES + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000))
 
 
