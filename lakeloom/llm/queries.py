@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import linededup, mixing, pieces, quality, simhash, sql, tokencount, tokenfile
+from lakeloom.llm import langid, linededup, mixing, pieces, quality, secretscan, simhash, sql, tokencount, tokenfile, vecdedup
+from lakeloom.llm.common import stored
 
 
 #: Where the public vocabularies lie; a parameter of each operator.
@@ -57,6 +58,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col("within").alias("chars_within_limit"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of whole texts, learnt from labelled documents that are not held out."""
+    docs = _documents(spark, sf_dir)
+    found = langid.identified(docs.withColumn("held_out", langid.held_out("doc_id")), langid.fitted(docs), carry=("held_out",))
+    return found.select(F.col("id").alias("doc_id"), F.col("carry_0").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a systematic sample takes of every document, sources mixed to their targets."""
     return mixing.mix(_documents(spark, sf_dir)).select(
@@ -64,6 +72,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 within labels, their components, and the recall of the search as audited by brute force."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found, _ = stored(vecdedup.near_duplicates(vectors), "vector-classes")
+    recall = vecdedup.audit(vectors, found)
+    kept = F.col("id") == F.col("component")
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"), F.lit(recall).alias("audited_recall"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of whole texts; a document is a repository, its source the owner."""
+    found = secretscan.scan(_documents(spark, sf_dir))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *map(number, ("assign", "access", "hex")), F.sha2(secretscan.joined(F.col("base")), 256).alias("base_sha256"),
+        secretscan.joined(F.col("spans")).alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"),
+    )
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best segmentation of whole texts, its lead over the second best, and whether decoding gives the text back."""
     found = pieces.segmented(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
@@ -80,7 +107,10 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
     "op2_simhash": op2_simhash,
@@ -89,4 +119,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_quality": sql.quality(),
     "op6_mixing": sql.mixing(),
+    "op8_secret_scan": sql.secrets(),
 }

@@ -95,3 +95,43 @@ x AS (
 SELECT doc_id, size, source_size, target, (size * (floor(ratio * k + shift) - floor(ratio * (k - 1) + shift))::BIGINT)::BIGINT AS taken
 FROM x
 """
+
+
+def secrets() -> str:
+    base = {
+        "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+        "mixed": "[A-Za-z0-9+/_-]+",
+    }
+    value = {"assign": f"regexp_extract(hit, '{base['assign'].replace(chr(39), chr(39) * 2)}', 2)"}
+    test = {"assign": "length(v) >= 6", "access": "length(v) >= 20", "hex": "length(v) >= 24", "mixed": "length(v) >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"}
+    parts = []
+    for rank, (kind, pattern) in enumerate(base.items()):
+        p = pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT rid, src, doc_id, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(hit) AS stop, v FROM (
+    SELECT *, {value.get(kind, 'hit')} AS v,
+           (sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY rid ORDER BY i) - coalesce(length(hit), 0))::BIGINT AS s
+    FROM (SELECT rid, src, doc_id, i, gap, hit FROM (
+      SELECT rid, src, doc_id, unnest(gaps) AS gap, unnest(list_append(hits, NULL)) AS hit, generate_subscripts(gaps, 1) AS i FROM (SELECT rid, src, doc_id, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits FROM d)))
+  ) WHERE hit IS NOT NULL AND {test[kind]}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS src, coalesce(text, '') AS t FROM documents),
+c AS ({" UNION ALL ".join(parts)}),
+o AS (SELECT v, count(DISTINCT src) AS owners FROM c GROUP BY v),
+j AS (
+  SELECT c.*, owners >= 3 AS copied, owners < 3 AND len(list_distinct(string_split(v, ''))) >= 8 AS live
+  FROM c JOIN o USING (v)
+),
+g AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'mixed'), '') AS base,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'mixed' OR live), '') AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (copied AND kind <> 'mixed') AS n_copied
+  FROM j GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN g USING (rid)
+"""
