@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import forget, stored
+from lakeloom.llm.common import forget, let, stored
 from lakeloom.llm.components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
@@ -28,7 +28,6 @@ BANDS, ROWS = 8, 3
 SAMPLE = 64
 WIDE = 24
 BLANK = " \t\n\x0b\x0c\r"
-A_WORD = r"[^\x20\x09-\x0D]"
 
 
 def line_id(line: Column) -> Column:
@@ -38,7 +37,7 @@ def line_id(line: Column) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc``, ``pos`` (from 0) and ``line`` (trimmed) of all lines that have a word."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
-    return rows.where(F.col("raw").rlike(A_WORD)).select("doc", "pos", F.trim(F.col("raw"), F.lit(BLANK)).alias("line"))
+    return rows.select("doc", "pos", F.trim(F.col("raw"), F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
 def _hash(units: str, i: str, k: int) -> str:
@@ -81,11 +80,10 @@ def decided(lines: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Da
     n = F.greatest(F.expr(f"octet_length(encode(line, 'UTF-16BE')) div 2 - {k - 1}"), F.lit(1))
     side = lambda c: texts.select(F.col("lid").alias(c), units.alias(f"u{c}"), n.alias(f"n{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # Distinct shingles are at most as many as positions, and a shared set at most the smaller: lengths far apart can still reach it, so only sets decide.
-    grams = lambda c: F.array_distinct(F.expr(f"transform(sequence(0, n{c} - 1), i -> {_hash(f'u{c}', 'i', k)})"))
-    sets = both.select("a", "b", grams("a").alias("sa"), grams("b").alias("sb"))
-    shared = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return shared.where(F.col("both") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    # One expression, so that each side's shingles are made once although the filter is pushed down.
+    grams = lambda c: F.expr(f"transform(sequence(0, n{c} - 1), i -> {_hash(f'u{c}', 'i', k)})")
+    alike = lambda x, y: F.size(F.array_intersect(x, y)) >= F.lit(similarity) * F.size(F.array_union(x, y))
+    return both.where(let(grams("a"), lambda x: let(grams("b"), lambda y: alike(x, y)))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
