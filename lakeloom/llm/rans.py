@@ -22,11 +22,18 @@ MAGIC = b"LLR1"
 BLOCK, LANES = 1 << 17, 1024
 #: Bits of the frequencies' common denominator; lower bound of a state and bits of a renormalisation step.
 SCALE, LOW, STEP = 22, 1 << 31, 32
+#: Ids under this are tabulated; larger ones are searched for.
+DENSE = 1 << 22
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and frequencies that sum to 2**SCALE, each at least 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < DENSE:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     whole = 1 << SCALE
     if len(symbols) > whole:
         raise ValueError("more distinct ids than the denominator holds")
@@ -49,9 +56,13 @@ class Coder:
         self.symbols, self.freq = symbols, freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(freq) else np.zeros(0, np.uint64)
         self._slots = None
+        self._places = None
+        if len(symbols) and symbols[-1] < DENSE:
+            self._places = np.zeros(int(symbols[-1]) + 1, np.uint32)
+            self._places[symbols] = np.arange(len(symbols), dtype=np.uint32)
 
     def encode(self, ids: np.ndarray) -> bytes:
-        at = np.searchsorted(self.symbols, ids)
+        at = self._places[ids] if self._places is not None else np.searchsorted(self.symbols, ids)
         lanes = min(LANES, max(1, len(ids)))
         state = np.full(lanes, LOW, np.uint64)
         words: list[np.ndarray] = []

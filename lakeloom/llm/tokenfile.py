@@ -8,6 +8,7 @@ is the store that executors can reach on any file system, and each file in it de
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,11 @@ from lakeloom.llm.common import stored
 #: Ids of a file; input bytes of a partition; pre-tokens that a worker remembers before it starts over.
 FILE_IDS = 1 << 21
 PARTITION_BYTES = 24 << 20
-WORDS = 500_000
+WORDS = 600_000
+#: The same split for texts of characters under U+0250, whose letters, digits and spaces are few ranges.
+LETTER, DIGIT, SPACE = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+BEYOND = re.compile("[^\x00-\u024f]")
 
 
 class Encoder:
@@ -47,14 +52,15 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        split = self.word.findall if BEYOND.search(text) else LATIN.findall
         if not self.special or not (found := list(self.special.finditer(text))):
-            return self.word.findall(text)
+            return split(text)
         out, at = [], 0
         for m in found:
-            out += self.word.findall(text[at : m.start()])
+            out += split(text[at : m.start()])
             out.append(m.group())
             at = m.end()
-        return out + self.word.findall(text[at:])
+        return out + split(text[at:])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
