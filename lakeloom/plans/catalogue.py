@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lakeloom.plans import content, graphs, scalars, series, streams, tabular, web  # noqa: F401  (they register themselves)
+from lakeloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
