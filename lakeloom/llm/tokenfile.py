@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,9 +69,9 @@ class Encoder:
             if len(self.known) > WORDS:
                 self.known.clear()
             known = self.known
-            new = list({w for c in cut for w in c if w not in known})
+            new = list(set().union(*cut).difference(known))
             for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = self.special_ids.get(w) or np.array(e.ids, "<u4").tobytes()
+                known[w] = self.special_ids.get(w) or array("I", e.ids).tobytes()
             for c in cut:
                 yield b"".join(map(known.__getitem__, c))
 
