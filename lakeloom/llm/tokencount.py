@@ -29,7 +29,7 @@ from lakeloom.llm.bpewords import WORD_END, byte_alphabet, special_splitter
 #: Pre-tokens and pairs of tokens that a worker remembers before it starts over.
 WORDS, PAIRS = 1_000_000, 1_000_000
 #: Below this all letters are composed already and lower-case one by one.
-PLAIN = regex.compile("[^\x00-˿]")
+PLAIN = regex.compile("[^\x00-\u02ff]")
 
 #: The same split over ASCII alone, lower-cased.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
