@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The separator of groups of digits in spreadsheet numbers: a narrow no-break space.
-GROUP = " "
+GROUP = "\u202f"
 
 
 def _units(size: Column, names: list[str], step: int, plain: str, decimals: int) -> Column:

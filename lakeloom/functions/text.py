@@ -73,7 +73,7 @@ def is_binary(data: Column) -> Column:
 
 def typed(text: Column) -> Column:
     """``number`` or ``text`` of a cell, spaces aside, and its value (F-14)."""
-    bare = F.regexp_replace(text, "[   ]", "")
+    bare = F.regexp_replace(text, "[ \xa0\u202f]", "")
     whole = bare.rlike(r"^[+-]?[0-9]{1,15}$")
     real = bare.rlike(r"^[+-]?[0-9]+[.,][0-9]+$") & (F.length(bare) <= 40)
     return F.struct(F.when(whole | real, "number").otherwise("text").alias("kind"), F.when(whole | real, F.replace(bare, F.lit(","), F.lit(".")).cast("double")).alias("num"))
