@@ -19,11 +19,15 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame
 
 
 def layers(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """``node`` and ``layer``: one more than the deepest feeder's; a node without feeders has 0. Stops after ``most`` rounds, so cycles end."""
-    level = nodes.select("node", F.lit(0).alias("layer"))
+    """``node`` and ``layer``: one more than the deepest feeder's; a node without feeders has 0. Stops after ``most`` rounds, so cycles end.
+
+    Each round holds only the distinct nodes that the round before feeds; a node's layer is the last round that reached it.
+    """
+    front = nodes.select("node")
+    reached = nodes.select("node", F.lit(0).alias("layer"))
     for k in range(1, most + 1):
-        fed = edges.join(level.where(F.col("layer") == k - 1), F.col("src") == F.col("node")).select(F.col("dst").alias("hit")).distinct().persist()
-        if fed.isEmpty():
+        front = front.join(edges, front.node == edges.src, "inner").select(F.col("dst").alias("node")).distinct().persist()
+        if front.isEmpty():
             break
-        level = level.join(fed, level.node == fed.hit, "left").select("node", F.when(F.col("hit").isNotNull(), k).otherwise(F.col("layer")).alias("layer"))
-    return level
+        reached = reached.unionByName(front.select("node", F.lit(k).alias("layer")))
+    return reached.groupBy("node").agg(F.max("layer").alias("layer"))
