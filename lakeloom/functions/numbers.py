@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 GROUP = "\u202f"
 
 
-def _units(size: Column, names: list[str], step: int, plain: str, decimals: int) -> Column:
+def _units(size: Column, names: list[str], step: int, plain: str) -> Column:
     out = F.concat(size.cast("long").cast("string"), F.lit(plain))
     for k, name in enumerate(names, 1):
-        scaled = F.format_string(f"%.{decimals}f", size.cast("double") / float(step**k))
+        # One decimal by whole numbers, halves to the even digit.
+        tenths, rest, unit = (size.cast("long") * 10 - F.pmod(size.cast("long") * 10, F.lit(step**k))) / step**k, F.pmod(size.cast("long") * 10, F.lit(step**k)), step**k
+        tenths = tenths.cast("long") + F.when((rest * 2 > unit) | ((rest * 2 == unit) & (tenths.cast("long") % 2 == 1)), 1).otherwise(0)
+        scaled = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
         out = F.when(size >= step**k, F.concat(scaled, F.lit(name))).otherwise(out)
     return out
 
 
 def human_size(size: Column) -> Column:
     """Bytes as ``n B`` or one decimal of KB, MB, GB, TB (F-01)."""
-    return _units(size, [" KB", " MB", " GB", " TB"], 1024, " B", 1)
+    return _units(size, [" KB", " MB", " GB", " TB"], 1024, " B")
 
 
 def human_size_short(size: Column) -> Column:
     """Bytes as a bare number or one decimal with K, M, G, T (F-01)."""
-    return _units(size, ["K", "M", "G", "T"], 1024, "", 1)
+    return _units(size, ["K", "M", "G", "T"], 1024, "")
 
 
 def human_size_decimal(size: Column) -> Column:
     """Bytes in powers of a thousand up to PB (F-01)."""
-    return _units(size, [" kB", " MB", " GB", " TB", " PB"], 1000, " bytes", 1)
+    return _units(size, [" kB", " MB", " GB", " TB", " PB"], 1000, " bytes")
 
 
 def grouped(value: Column, decimals: int = 2, comma: bool = False) -> Column:

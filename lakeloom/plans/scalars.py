@@ -10,7 +10,11 @@ from lakeloom.sources.tables import table
 
 
 def _size_sql(names: list[str], step: int, plain: str) -> str:
-    arms = [f"WHEN s >= {step ** (k + 1)} THEN printf('%.1f', s::DOUBLE / {float(step ** (k + 1))}) || '{n}'" for k, n in reversed(list(enumerate(names)))]
+    def shown(u: int) -> str:
+        q = f"((s * 10) // {u} + CASE WHEN 2 * ((s * 10) % {u}) > {u} OR (2 * ((s * 10) % {u}) = {u} AND (s * 10) // {u} % 2 = 1) THEN 1 ELSE 0 END)"
+        return f"{q} // 10 || '.' || {q} % 10"
+
+    arms = [f"WHEN s >= {step ** (k + 1)} THEN {shown(step ** (k + 1))} || '{n}'" for k, n in reversed(list(enumerate(names)))]
     return f"CASE {' '.join(arms)} ELSE s || '{plain}' END"
 
 
