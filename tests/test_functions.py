@@ -16,7 +16,7 @@ def one(spark, column):
 
 def test_numbers(spark):
     lit = F.lit
-    assert one(spark, nm.grouped(lit(1234567.891), comma=True)) == "1 234 567,89"
+    assert one(spark, nm.grouped(lit(1234567.891), comma=True)) == "1\u202f234\u202f567,89"
     assert one(spark, nm.grouped(lit(-0.001))) == "0.00"
     assert one(spark, nm.grouped(lit(2.675))) == "2.68"
     assert one(spark, nm.percent(lit(0.256))) == "26%"
