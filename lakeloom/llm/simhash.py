@@ -92,7 +92,7 @@ def _verified(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 def _within(fp: np.ndarray, other: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of two blocks, a stripe of rows at a time."""
-    found_a, found_b = [], []
+    found_a, found_b = [fp[:0]], [fp[:0]]  # a block may be empty on one side
     left, right = fp.view(np.uint8).reshape(-1, 8), np.ascontiguousarray(other.view(np.uint8).reshape(-1, 8).T)
     for at in range(0, len(fp), 256):
         tally = np.zeros((min(256, len(fp) - at), len(other)), np.uint8)
