@@ -5,8 +5,9 @@
    ``n`` shingles the hashes under ``sample / n`` of the range go on to the signature (all of them for
    short lines); lines that agree in a shingle agree in its hash, so this thins both sides alike.
    The signature has ``bands * rows`` minima, taken with map-side combining.
-3. Equal bands make candidates. A band of few lines is paired in full; in a wide one every line
-   meets the band's two extreme lines, so a group never makes all pairs.
+3. Equal bands make candidates. Every line first meets the smallest line of each of its bands; then
+   all lines of a band that are not yet connected meet, a wide band dealt as pairs of blocks. Pairs
+   left out are within one component already.
 4. The Jaccard similarity of whole shingle sets decides each candidate.
 5. Components of the decided pairs, and in each the first line in order of (id, position), are kept.
 
@@ -26,7 +27,8 @@ from lakeloom.llm.components import components
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
 SAMPLE, SEED = 64, 23
-WIDE = 24
+BLOCK = 256
+SKETCH = 8
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -62,32 +64,57 @@ def signatures(lines: DataFrame, k: int, sample: int) -> DataFrame:
     return sig.select("lid", "n", *bands)
 
 
-def candidates(sig: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of line ids that share a band and whose sizes allow the similarity."""
+def banded(sig: DataFrame) -> DataFrame:
+    """``band``, ``lid`` and ``low``, the band's smallest line id, of every line that shares a band."""
     spread = sig.select("lid", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    groups, path = stored(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("a"), F.max("lid").alias("b")).where("n > 1"), "bands")
-    two = groups.where("n = 2").select("a", "b")
-    members = spread.join(groups.where("n > 2"), "band")
-    few = members.where(f"n <= {WIDE}").select("band", "lid")
-    pairs = few.withColumnRenamed("lid", "a").join(few.withColumnRenamed("lid", "b"), "band").where("a < b").select("a", "b")
-    wide = members.where(f"n > {WIDE}").select("lid", F.explode(F.array("a", "b")).alias("end")).where("lid <> end")
-    wide = wide.select(F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b"))
-    return two.unionByName(pairs).unionByName(wide).distinct()
+    lows = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("low")).where("n > 1")
+    return spread.join(lows, "band").select("band", "lid", "low")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of every line with the smallest of each of its bands."""
+    return members.where("lid <> low").select(F.col("low").alias("a"), F.col("lid").alias("b")).distinct()
+
+
+def other_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All other pairs ``a`` < ``b`` of a band whose lines ``roots`` does not connect already.
+
+    A band is dealt as pairs of blocks of about BLOCK lines, so that no task holds all of a wide one.
+    """
+    own = members.join(roots, members.lid == roots.node, "left").select("band", "lid", "low", F.coalesce("root", "lid").alias("root"))
+    apart = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 AND r0 <> r1")
+    own = own.where("lid <> low").join(apart.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    own = own.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "lid"), "blocks").cast("int"))
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = own.select("band", F.col("block").alias("i"), F.explode(F.filter(each, lambda j: j >= F.col("block"))).alias("j"), F.col("lid").alias("x"), F.col("root").alias("rx"))
+    right = own.select("band", F.explode(F.filter(each, lambda i: i <= F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("lid").alias("y"), F.col("root").alias("ry"))
+    met = left.join(right, ["band", "i", "j"]).where("rx <> ry AND (i < j OR x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def decided(lines: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The candidate pairs whose whole shingle sets reach the similarity."""
+    """The candidate pairs whose whole shingle sets reach the similarity.
+
+    A shingle toggles one bit of its line's SKETCH words. Two sets differ in at least as many shingles as their
+    words in bits, so most pairs that cannot reach the similarity go before their texts are joined, and no others.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     texts = lines.select(line_id(F.col("line")).alias("lid"), "line").join(ids, "lid", "left_semi").dropDuplicates(["lid"])
     texts, _ = stored(texts, "candidate-lines")
-    units = F.encode("line", "UTF-16BE")
-    n = F.greatest(F.expr(f"octet_length(encode(line, 'UTF-16BE')) div 2 - {k - 1}"), F.lit(1))
-    side = lambda c: texts.select(F.col("lid").alias(c), units.alias(f"u{c}"), n.alias(f"n{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # One expression, so that each side's shingles are made once although the filter is pushed down.
-    grams = lambda c: F.expr(f"transform(sequence(0, n{c} - 1), i -> {_hash(f'u{c}', 'i', k)})")
-    alike = lambda x, y: F.size(F.array_intersect(x, y)) >= F.lit(similarity) * F.size(F.array_union(x, y))
-    return both.where(let(grams("a"), lambda x: let(grams("b"), lambda y: alike(x, y)))).select("a", "b")
+    made = texts.select("lid", F.encode("line", "UTF-16BE").alias("u")).withColumn("n", F.greatest(F.expr(f"octet_length(u) div 2 - {k - 1}"), F.lit(1)))
+    each = made.select("lid", F.explode(F.expr(f"array_distinct(transform(sequence(0, n - 1), i -> {_hash('u', 'i', k)}))")).alias("h"))
+    words = [F.expr(f"bit_xor(if((h >> 6) & {SKETCH - 1} = {w}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{w}") for w in range(SKETCH)]
+    sets, _ = stored(each.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *words), "line-sketches")
+    end = lambda c: sets.select(F.col("lid").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"w{w}").alias(f"{c}{w}") for w in range(SKETCH)])
+    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in range(SKETCH))
+    # The greatest common part is (na + nb - apart) / 2; a little less is asked of it, for rounding.
+    close = f"na >= {similarity - 1e-9}D * nb AND nb >= {similarity - 1e-9}D * na AND (na + nb - ({apart})) >= {similarity - 1e-9}D * (na + nb + ({apart}))"
+    near = pairs.join(end("a"), "a").join(end("b"), "b").where(close).select("a", "b", "na", "nb")
+    side = lambda c: texts.select(F.col("lid").alias(c), F.encode("line", "UTF-16BE").alias(f"u{c}"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
+    grams = lambda c: F.expr(f"transform(sequence(0, greatest(octet_length(u{c}) div 2 - {k - 1}, 1) - 1), i -> {_hash(f'u{c}', 'i', k)})")
+    common = F.size(F.array_intersect(grams("a"), grams("b")))
+    return both.where(let(common, lambda c: c >= F.lit(similarity) * (F.col("na") + F.col("nb") - c))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -98,10 +125,15 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = lines_of(docs, id_col, text_col)
     sig, sig_path = stored(signatures(lines, k, SAMPLE), "line-bands")
-    pairs, _ = stored(candidates(sig, similarity), "line-pairs")
-    links, _ = stored(decided(lines, pairs, k, similarity), "line-links")
+    members, members_path = stored(banded(sig), "line-members")
     forget(docs.sparkSession, sig_path)
-    roots = components(links)
+    pairs, _ = stored(first_pairs(members), "line-pairs")
+    links, _ = stored(decided(lines, pairs, k, similarity), "line-links")
+    roots, _ = stored(components(links), "line-roots")
+    pairs, _ = stored(other_pairs(members, roots), "line-pairs")
+    forget(docs.sparkSession, members_path)
+    more, _ = stored(decided(lines, pairs, k, similarity), "line-links")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     at, _ = stored(lines.select("doc", "pos", line_id(F.col("line")).alias("lid")), "line-places")
     firsts = at.groupBy("lid").agg(F.min(F.struct("doc", "pos")).alias("first"))
     firsts = firsts.join(roots, firsts.lid == roots.node, "left").select("lid", "first", F.coalesce("root", "lid").alias("cls"))
