@@ -1,10 +1,8 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions alone.
 
 1. Every line with a word becomes a 64-bit id; exact copies are one line from here on.
-2. The shingles of a line are exploded by position and hashed inside generated code. Of a line's
-   ``n`` shingles the hashes under ``sample / n`` of the range go on to the signature (all of them for
-   short lines); lines that agree in a shingle agree in its hash, so this thins both sides alike.
-   The signature has ``bands * rows`` minima, taken with map-side combining.
+2. The shingles of a line are exploded by position and hashed inside generated code. The signature
+   has ``bands * rows`` minima over all of them, taken with map-side combining.
 3. Equal bands make candidates. Every line first meets the smallest line of each of its bands; then
    all lines of a band that are not yet connected meet, a wide band dealt as pairs of blocks. Pairs
    left out are within one component already.
@@ -26,7 +24,7 @@ from lakeloom.llm.components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
-SAMPLE, SEED = 64, 23
+SEED = 23
 BLOCK = 256
 SKETCH = 8
 BLANK = " \t\n\x0b\x0c\r"
@@ -47,21 +45,20 @@ def _hash(units: str, i: str, k: int) -> str:
     return f"xxhash64(substring({units}, 2 * {i} + 1, {2 * k}))"
 
 
-def signatures(lines: DataFrame, k: int, sample: int) -> DataFrame:
-    """``lid``, ``n`` and the bands ``b0``, ``b1``, ... of every distinct line."""
+def signatures(lines: DataFrame, k: int) -> DataFrame:
+    """``lid`` and the bands ``b0``, ``b1``, ... of every distinct line."""
     base = lines.select(line_id(F.col("line")).alias("lid"), F.xxhash64(F.lit(1), F.col("line")).alias("other"), F.encode("line", "UTF-16BE").alias("units"))
-    base = base.withColumn("n", F.greatest(F.expr(f"octet_length(units) div 2 - {k - 1}"), F.lit(1)).cast("int"))
-    limit = F.expr(f"cast(-9.223372036854775e18D + least(1.0D, {sample}.0D / n) * 1.8446744073709549e19D as bigint)")
-    grams = base.withColumn("limit", limit).select("lid", "other", "n", "limit", "units", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    grams = grams.select("lid", "other", "n", "limit", F.expr(_hash("units", "i", k)).alias("h")).where("h <= limit")
-    # Orders of the sample: three hashes, each rotated by eight bits at a time, for a rotation costs less than a hash.
+    last = F.greatest(F.expr(f"octet_length(units) div 2 - {k}"), F.lit(0)).cast("int")
+    grams = base.select("lid", "other", "units", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    grams = grams.select("lid", "other", F.expr(_hash("units", "i", k)).alias("h"))
+    # Orders of the shingles: three hashes, each rotated by eight bits at a time, for a rotation costs less than a hash.
     grams = grams.withColumns({"h1": F.xxhash64("h"), "h2": F.xxhash64(F.lit(SEED), F.col("h"))})
     turned = lambda h, r: F.col(h) if not r else F.shiftleft(F.col(h), r).bitwiseOR(F.shiftrightunsigned(F.col(h), 64 - r))
     orders = [turned(h, r) for r in range(0, 64, 8) for h in ("h", "h1", "h2")][: BANDS * ROWS]
     mins = [F.min(o).alias(f"m{j}") for j, o in enumerate(orders)]
-    sig = grams.groupBy("lid").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.max("n").alias("n"), *mins).where("lo = hi")
+    sig = grams.groupBy("lid").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), *mins).where("lo = hi")
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return sig.select("lid", "n", *bands)
+    return sig.select("lid", *bands)
 
 
 def banded(sig: DataFrame) -> DataFrame:
@@ -124,7 +121,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id count as one document: a line kept at an id and position is kept in each of them.
     """
     lines = lines_of(docs, id_col, text_col)
-    sig, sig_path = stored(signatures(lines, k, SAMPLE), "line-bands")
+    sig, sig_path = stored(signatures(lines, k), "line-bands")
     members, members_path = stored(banded(sig), "line-members")
     forget(docs.sparkSession, sig_path)
     pairs, _ = stored(first_pairs(members), "line-pairs")

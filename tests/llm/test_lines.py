@@ -34,3 +34,19 @@ def test_wide_bands(spark):
     got, want = line_classes_of(spark, [base, *sorted(variants)])
     assert len(set(want)) == 1
     assert max(Counter(got).values()) >= 0.99 * len(got)
+
+
+def test_repetitive_and_contained_lines(spark):
+    rng = random.Random(12)
+    rules = ["-" * n for n in range(1990, 2020)]
+    cycle = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=49)) + "."
+    cycles = [cycle * n for n in range(80, 110)]
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=600)) for _ in range(200)]
+    contained = [x for i, t in enumerate(texts) for x in (f"{i}:{t}.", f"{i}:{t[:490]}")]
+    lines = [*rules, *cycles, *contained]
+    got, want = line_classes_of(spark, lines)
+    assert len(set(got[:30])) == len(set(got[30:60])) == 1
+    pairs = range(60, len(lines), 2)
+    assert all(want[i] == want[i + 1] for i in pairs)
+    assert sum(got[i] == got[i + 1] for i in pairs) >= 0.98 * len(pairs)
+    assert len(set(got)) >= len(set(want))
