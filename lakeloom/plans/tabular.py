@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as tx
 from lakeloom.operators import timeline
-from lakeloom.plans.registry import query
+from lakeloom.plans.registry import ORACLES, query
 from lakeloom.sources.tables import table
 
 
@@ -183,11 +183,17 @@ def word_count(spark, d):
 
 
 @query("SELECT l_orderkey % 100 AS k, unnest(list_transform(range(0, l_linenumber), lambda i: l_quantity)) AS v FROM lineitem WHERE l_orderkey < 500")
-def run_length_expansion(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 500")
+def run_length_expansion(spark, d, rows="l_orderkey < 500"):
+    rows = table(spark, d, "lineitem").where(rows)
     return rows.select((F.col("l_orderkey") % 100).alias("k"), F.explode(F.array_repeat("l_quantity", F.col("l_linenumber"))).alias("v"))
 
 
+@query(ORACLES["run_length_expansion"].replace(" WHERE l_orderkey < 500", ""))
+def run_length_expansion_all(spark, d):
+    """``run_length_expansion`` over all lines."""
+    return run_length_expansion(spark, d, "true")
+
+
 @query("SELECT source, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY source")
 def channel_grouping(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
