@@ -71,6 +71,13 @@ def hex_dump(spark, d):
     return rows.select("doc_id", F.conv("r.offset", 16, 10).cast("long").alias("at"), F.replace("r.bytes", F.lit(" "), F.lit("")).alias("bytes"))
 
 
+@query("SELECT doc_id, (k * 16)::BIGINT AS at, lower(substr(h, k * 32 + 1, 32)) AS bytes FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 31) // 32)) AS k FROM (SELECT doc_id, substr(hex(encode(text)), 1, 524288) AS h FROM documents))")
+def hex_dump_all(spark, d):
+    """``hex_dump`` of whole documents, up to the dump's own bound of 256 KiB."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(tx.hex_dump(F.encode("text", "UTF-8"))).alias("r"))
+    return rows.select("doc_id", F.conv("r.offset", 16, 10).cast("long").alias("at"), F.replace("r.bytes", F.lit(" "), F.lit("")).alias("bytes"))
+
+
 @query("SELECT lang, bucket AS body_size FROM (SELECT lang, round(n_chars / 1000.0) * 1000 AS bucket, sum(n_chars) AS w FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY w DESC, bucket) = 1")
 def weighted_mode(spark, d):
     b = table(spark, d, "documents").groupBy("lang", (F.round(F.col("n_chars") / 1000) * 1000).alias("bucket")).agg(F.sum("n_chars").alias("w"))

@@ -18,3 +18,21 @@ def test_whole_table(spark, name):
     assert "WHERE event_id" not in whole and "WHERE l_orderkey" not in whole
     assert oracle.rows_of_duckdb(con, bounded)[1] != oracle.rows_of_duckdb(con, whole)[1]
     assert oracle.differences(catalogue.QUERIES[name](spark, d), con, whole) == ""
+
+
+@pytest.mark.parametrize("name", ["hex_dump_all", "text_forms_all"])
+def test_whole_texts(spark, name):
+    d = "/root/testdata/sf0.01"
+    con = oracle.connection(d)
+    bounded, whole = catalogue.ORACLES[name.removesuffix("_all")], catalogue.ORACLES[name]
+    assert oracle.rows_of_duckdb(con, bounded)[1] != oracle.rows_of_duckdb(con, whole)[1]
+    assert oracle.differences(catalogue.QUERIES[name](spark, d), con, whole) == ""
+
+
+def test_dump_ends_at_its_bound(spark):
+    from pyspark.sql import functions as F
+
+    from lakeloom.functions import text as tx
+
+    rows = spark.createDataFrame([("x" * 262150,)], "text string").select(F.explode(tx.hex_dump(F.encode("text", "UTF-8"))).alias("r"))
+    assert rows.count() == 16384
