@@ -188,6 +188,25 @@ def test_nbest_against_all_segmentations():
     assert lattice.nbest_of_text(text, 2)[1][0] == lattice.best(text)[1] - lattice.best(text)[2]
 
 
+def test_long_stretches():
+    rng = random.Random(8)
+    lattice = pieces.Lattice(P.path("piece_bpe_32k.model"))
+    for s in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "".join(rng.choices("ABCDEFabcdefghij0123456789+/", k=100_000)), "a" * 20_000):
+        ids, score, margin = lattice.best(s)
+        assert lattice.decode(np.frombuffer(ids, "<u4")) == s and margin >= 0
+        whole = lattice.best(s[:3000])
+        two = lattice.nbest_of_text(s[:3000], 2)
+        assert two[0][0] == whole[1] and two[0][0] - two[1][0] == whole[2]
+    once = pieces.WINDOW
+    try:  # windows end anywhere
+        text = "the window of a long stretch" + s[:100] + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé中", k=3000))
+        want = pieces.Lattice(P.path("piece_bpe_32k.model")).best(text)
+        pieces.WINDOW = 37
+        assert pieces.Lattice(P.path("piece_bpe_32k.model")).best(text) == want
+    finally:
+        pieces.WINDOW = once
+
+
 def test_pieces_round_trip(texts):
     import sentencepiece
 
