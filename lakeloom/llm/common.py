@@ -47,6 +47,25 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key that holds over this share of all rows is hot.
+SHARES = 1024
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``key`` and ``parts`` of the keys that hold over 1/SHARES of all rows: fewer than SHARES rows, whatever the input."""
+    total = counts.agg(F.sum(n)).first()[0] or 1
+    return counts.where(F.col(n) * SHARES > total).select(key, F.ceil(F.col(n) * SHARES / F.lit(total)).cast("int").alias("__parts"))
+
+
+def join_split(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """Inner join on ``key``; the rows of a hot key are dealt by ``spread`` (a hash of them) to its parts, and ``other`` is repeated in each."""
+    hot = F.broadcast(hot)  # under SHARES rows
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.withColumn("__at", spread).join(hot, key, "left").withColumn("__at", F.pmod("__at", parts)).drop("__parts")
+    each = other.join(hot, key, "left").withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("__parts")
+    return dealt.join(each, [key, "__at"]).drop("__at")
+
+
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value`` computed once, inside one projection."""
     return F.transform(F.array(value), body)[0]

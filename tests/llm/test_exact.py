@@ -109,8 +109,8 @@ def test_line_dedup_recall(spark, docs, texts):
     got = {}
     for r in linededup.line_classes(docs).collect():
         got.setdefault(texts[r["doc"]].split("\n")[r["pos"]].strip(blank), set()).add(r["cls"])
-    assert set(got) == set(lines) and all(len(v) == 1 for v in got.values())
-    cls = [next(iter(got[x])) for x in lines]
+    assert set(got) <= set(lines) and all(len(v) == 1 for v in got.values())
+    cls = [next(iter(got[x])) if x in got else -1 - i for i, x in enumerate(lines)]  # lines without a copy have no row
     linked = sum(cls[i] == cls[j] for i, j in pairs)
     assert linked >= 0.95 * len(pairs)
     assert len(set(cls)) >= len(set(truth))  # nothing is linked that brute force does not link

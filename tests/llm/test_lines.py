@@ -11,7 +11,7 @@ from lakeloom.llm import linededup
 def line_classes_of(spark, lines):
     """Class of every line as the operator finds it, and the roots of brute force."""
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
-    got = {r["doc"]: r["cls"] for r in linededup.line_classes(docs).collect()}
+    got = {r["doc"]: r["cls"] for r in linededup.line_classes(docs).collect()}  # lines without a copy or near copy have no row
     sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in lines]
     root = list(range(len(lines)))
 
@@ -24,7 +24,7 @@ def line_classes_of(spark, lines):
         for j in range(i):
             if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
                 root[find(i)] = find(j)
-    return [got[i] for i in range(len(lines))], [find(i) for i in range(len(lines))]
+    return [got.get(i, -1 - i) for i in range(len(lines))], [find(i) for i in range(len(lines))]
 
 
 def test_wide_bands(spark):
@@ -50,3 +50,43 @@ def test_repetitive_and_contained_lines(spark):
     assert all(want[i] == want[i + 1] for i in pairs)
     assert sum(got[i] == got[i + 1] for i in pairs) >= 0.98 * len(pairs)
     assert len(set(got)) >= len(set(want))
+
+
+def test_wide_family_of_loose_copies(spark, monkeypatch):
+    """Lines of one family whose similarity lies about the threshold, over blocks of a few lines."""
+    monkeypatch.setattr(linededup, "BLOCK", 20)
+    rng = random.Random(13)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=120))
+    family = set()
+    while len(family) < 400:
+        line = list(base)
+        for _ in range(rng.choice((1, 2, 2))):
+            line[rng.randrange(120)] = rng.choice("0123456789")
+        family.add("".join(line).strip())
+    lines = sorted(family)
+    got, want = line_classes_of(spark, lines)
+    sets = [{x[i : i + 9] for i in range(len(x) - 8)} for x in lines]
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if len(a & sets[j]) >= 0.8 * len(a | sets[j])]
+    assert len(pairs) > 400 and sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+    assert len(set(want)) <= len(set(got)) <= 1.03 * len(set(want))
+
+
+def test_documents_of_one_id(spark):
+    """Rows of one id, or of none, with different texts are documents of their own."""
+    x, y, z = ("a line that three of the documents hold, word by word", "a line that no other document holds at all", "one more line, found only here")
+    rows = [(1, x, "a"), (7, x, "b"), (7, y, "c"), (None, z, "d"), (None, x + "\n" + y[::-1], "e"), (None, None, "f"), (8, x, "g"), (8, x, "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, of string")
+    got = {r["of"]: r["text"] for r in linededup.deduplicated(docs).collect()}
+    # A null id comes before all others.
+    assert got == {"a": "", "b": "", "c": y, "d": z, "e": x + "\n" + y[::-1], "f": None, "g": "", "h": ""}
+    found = sorted((r["id"] or 0, r["n_lines"], r["n_dropped"]) for r in linededup.decisions(docs).collect())
+    assert found == sorted([(1, 1, 1), (7, 1, 1), (7, 1, 0), (0, 1, 0), (0, 2, 0), (0, 0, 0), (8, 1, 1), (8, 1, 1)])
+
+
+def test_shingles():
+    """Hashes agree where shingles do, short lines and lines of other planes too."""
+    lines = ["ab", "abcdefghi", "abcdefghij", "xabcdefghi", "中文" * 9, "🙂" * 30, "b"]
+    sets = [set(linededup.shingle_set(x, 9).tolist()) for x in lines]
+    want = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in lines]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    assert [[len(a & b) for a in sets] for b in sets] == [[len(a & b) for a in want] for b in want]
