@@ -2,9 +2,9 @@
 
 Subwords are runs of 2, 3 and 4 characters of the lower-cased text, all that is not a letter read as one
 space; they are hashed to buckets, whose embeddings are averaged over the whole text. Training is
-stochastic gradient descent in numpy, a document at a step, over a bounded sample of labelled rows. On rows
-of the sample that training leaves out, a temperature calibrates the probabilities and a threshold is set
-under which a prediction is rejected.
+stochastic gradient descent in numpy, a document at a step, over a bounded sample of labelled rows, of every
+language as many. On rows of the sample that training leaves out, a temperature calibrates the probabilities
+and a threshold is set under which a prediction is rejected.
 
 As averaging and the softmax's weights are both linear, the trained model folds into one table of scores
 per bucket and language; a worker looks up that table for each subword.
@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that training gathers at most, and the largest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = 3000, 1 << 16
+from lakeloom.llm.common import stored
+
+#: Labelled rows that training gathers, dealt evenly among the languages, and those that each language may give at least.
+SAMPLE, LEAST = 3000, 50
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, SEED = 4, 0.5, 7
 #: Share of right predictions among the rows left out of training that may be rejected.
@@ -70,16 +72,28 @@ def subwords(points: np.ndarray) -> Iterator[np.ndarray]:
                 yield (mixed if last else mixed[:STRETCH]) & np.uint32(BUCKETS - 1)
 
 
+def counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's subwords and how often each occurs."""
+    total = np.zeros(BUCKETS, np.int64)
+    if len(points):
+        for buckets in subwords(points):
+            total += np.bincount(buckets, minlength=BUCKETS)
+    where = np.flatnonzero(total)
+    return where, total[where]
+
+
 def train(texts: list[str], langs: list[str]) -> Model:
-    """A model of the labelled texts; with no text that has a letter, a model of no languages."""
-    known = tuple(sorted({lang for lang, t in zip(langs, texts, strict=True) if len(characters(t))}))
+    """A model of labelled texts."""
+    return learnt([(*counted(characters(t)), lang) for t, lang in zip(texts, langs, strict=True)])
+
+
+def learnt(examples: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
+    """A model of the subword counts of labelled texts; with no text that has a letter, a model of no languages."""
+    examples = [e for e in examples if len(e[0])]
+    known = tuple(sorted({lang for _, _, lang in examples}))
     if not known:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    rows = []
-    for text, lang in zip(texts, langs, strict=True):
-        if len(points := characters(text)):
-            where, counts = np.unique(np.concatenate([*subwords(points)]), return_counts=True)
-            rows.append((where, (counts / max(1, counts.sum())).astype(np.float32), known.index(lang)))
+    rows = [(where, (counts / counts.sum()).astype(np.float32), known.index(lang)) for where, counts, lang in examples]
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(rows))
     cut = max(1, len(rows) - len(rows) // 5)
@@ -144,15 +158,37 @@ def held_out(id_col: str):
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` labelled rows for training, taken in order of a hash of their text."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    return rows.orderBy("h", "lang").limit(most)
+    """Labelled rows for training: ``lang``, ``buckets`` and ``counts`` (the subwords of a whole text), one row per different text.
+
+    Of each language about ``most / languages`` texts are taken, and ``LEAST`` at least, by a hash of the text; a language that has
+    fewer gives all. The rows are counted where they lie: what reaches the driver depends on ``most`` and not on the input.
+    """
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"))
+    keys, _ = stored(rows.select("lang", "h").distinct(), "labelled-texts")
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = max(LEAST, most // max(1, counts.count()))
+    share = F.pmod(F.xxhash64(F.lit(SEED), F.col("h")), F.lit(1 << 30)) < F.ceil(F.lit(float(each << 30)) / F.col("n"))
+    chosen = keys.join(counts, "lang").where(share).select("lang", "h")
+    picked = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # about ``most`` rows of a label and a number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [counted(characters(t)) for t in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "buckets", "counts"])
+
+    return picked.select("lang", "text").mapInArrow(run, "lang string, buckets array<int>, counts array<bigint>").where("size(buckets) > 0")
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Model:
-    rows = sample(docs, id_col, text_col, lang_col, most).select("text", "lang").toPandas()
-    return train(rows["text"].tolist(), rows["lang"].tolist())
+    """The model that the labelled rows of ``docs`` teach.
+
+    Null texts, texts without a letter, null labels and held-out rows teach nothing; very long texts count whole, repeated ones once.
+    An empty table, or one without labels, gives a model of no languages.
+    """
+    got = sample(docs, id_col, text_col, lang_col, most).orderBy("lang", "buckets", "counts").toArrow()
+    return learnt([(np.array(w, np.int64), np.array(c, np.int64), lang) for lang, w, c in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)])
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

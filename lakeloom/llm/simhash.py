@@ -56,16 +56,21 @@ def fingerprint_of(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * tally > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's 64 bits as a signed long) of every document; a null or wordless text has 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id`` and ``fp`` (the fingerprint's 64 bits as a signed long) of every document, and the ``carry`` columns (``carry_0``, ...).
+
+    A null or wordless text has the fingerprint 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint_of(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            names = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps)], names=[*names, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    return rows.mapInArrow(run, f"{schema}, fp bigint")
 
 
 def position_sets(least: int) -> list[tuple[int, ...]]:
@@ -193,5 +198,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(per_print, "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of linked fingerprints left, whole and unchanged.
+
+    The row that stays has the group's smallest id (a null id only where all are null); of rows of that id the one of the smallest
+    fingerprint, and of these, which have the same id and practically the same text, the first as stored. Null and wordless texts
+    are one group. Groups are told apart by their fingerprints and not by ids, so ids may repeat or be null.
+    """
+    carry = tuple(docs.columns)
+    numbered = fingerprints(docs, id_col, text_col, shingle, carry).withColumn("row", F.monotonically_increasing_id())
+    marked, _ = stored(numbered, "marked-rows")  # numbers are fixed once written
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "row")).alias("first")
+    prints, _ = stored(marked.groupBy("fp").agg(first), "distinct-prints")
+    found = components(fingerprint_links(prints.select("fp"), bits))
+    linked = prints.join(found, prints.fp == found.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return marked.join(kept, "row").select(*[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
