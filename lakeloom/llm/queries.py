@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import langid, linededup, mixing, pieces, quality, secretscan, simhash, sql, tokencount, tokenfile, vecdedup
-from lakeloom.llm.common import stored
 
 
 #: Where the public vocabularies lie; a parameter of each operator.
@@ -74,11 +73,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.98 within labels, their components, and the recall of the search as audited by brute force."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    found, _ = stored(vecdedup.near_duplicates(vectors), "vector-classes")
-    recall = vecdedup.audit(vectors, found)
-    kept = F.col("id") == F.col("component")
-    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"), F.lit(recall).alias("audited_recall"))
+    found = vecdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    recall, true = vecdedup.audit(found)
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    audited = F.lit(recall).cast("double").alias("audited_recall"), F.lit(true).cast("long").alias("audited_links")
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"), *audited)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import spanning_stars, stored
+from lakeloom.llm.common import forget, spanning_stars, stored
 from lakeloom.llm.components import components
 
 #: Vectors that the centroids are fitted on, the numbers of centroids to choose from, and members of a task.
-SAMPLE, LEVELS, PER_CLUSTER, BLOCK = 16_384, (1, 8, 64, 512), 1200, 1536
+SAMPLE, LEVELS, PER_CLUSTER, BLOCK = 32_768, (1, 8, 64, 512, 4096), 1200, 1536
+#: Vector lengths with centroids of their own, the most frequent ones; vectors of other lengths are dealt as pairs of blocks.
+WIDTHS = 64
 #: Degree, candidates, pruning factor, width of the search, members of a shard, seeds.
 DEGREE, CANDIDATES, ALPHA, WIDTH, PER_SHARD, SEED = 24, 48, 1.2, 24, 256, 11
+#: Vectors that the audit searches for by brute force: so many of all, and so many of those found to have links.
 AUDIT = 256
 
 
@@ -182,48 +185,61 @@ def links_in_task(ids: np.ndarray, vectors: np.ndarray, weight: np.ndarray, mine
     return links, u, v
 
 
+def _some(rows: DataFrame, n: int, of: int, *by: str) -> DataFrame:
+    """About ``n`` of the ``of`` rows, chosen by a hash of columns."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(SEED), *by), F.lit(1 << 40)) < F.lit(int(min(1.0, n / max(1, of)) * (1 << 40))))
+
+
+def _fitted(distinct: DataFrame) -> dict[int, list[np.ndarray]]:
+    """Centroids of each level that the vectors of a length need, by length; fitted on about SAMPLE distinct vectors of it."""
+    sizes = distinct.groupBy("space", F.size("e").alias("w")).agg(F.count(F.lit(1)).alias("n")).groupBy("w").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    levels = {}
+    for r in sizes.orderBy(F.desc("n"), "w").limit(WIDTHS).collect():
+        upto = int(np.searchsorted(np.array(LEVELS[:-1]) * PER_CLUSTER, r["most"]))
+        of_width = distinct.where(F.size("e") == r["w"]).select("e")
+        got = _some(of_width, SAMPLE if upto else 1, r["n"], "e").collect()
+        sample = unit(np.array(sorted(v["e"] for v in got) or [[1.0] * r["w"]], np.float64))
+        levels[r["w"]] = [centroids(sample, k) for k in LEVELS[: upto + 1]]
+    return levels
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
-    """``id``, ``n_links`` and ``component`` of every row of ``vectors``.
+    """``id``, ``n_links`` and ``component`` of every row of ``vectors``, and its ``space`` (label and length) and vector ``e``.
 
-    Vectors that are null, zero or hold null or non-finite numbers, and rows of a null label, link with nothing.
-    Vectors of unlike lengths never link. Every row counts as a vector of its own, rows with equal ids too; ids
-    are whole numbers. No rows give no rows; other columns are not read.
+    Vectors that are null, zero or hold null or non-finite numbers, and rows of a null label, link with nothing (null ``space``).
+    Vectors of unlike lengths never link. Every row counts as a vector of its own, rows with equal ids or vectors too; ids
+    are whole numbers. A null id links like any other and is a component's id only where it has no other. No rows give no rows;
+    other columns are not read.
     """
     spark = vectors.sparkSession
     e = F.col("e")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
-    sound = F.col("id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows, _ = stored(rows.select("id", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", F.size("e"))).alias("space"), F.when(sound, F.transform(e, lambda x: x + 0.0)).alias("e")), "vectors")
-    distinct, _ = stored(rows.where("space IS NOT NULL").groupBy("space", "e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
-    sizes = distinct.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("e")).alias("width"))
-    dims = distinct.select(F.size("e").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(64).collect()
-    levels = {}
-    for w in (r["w"] for r in dims):
-        got = distinct.where(F.size("e") == w).select("e", F.xxhash64("e").alias("h")).orderBy("h").limit(SAMPLE).select("e").collect()
-        sample = unit(np.array([r["e"] for r in got], np.float64))
-        levels[w] = [centroids(sample, k) for k in LEVELS]
-    shared = spark.sparkContext.broadcast(levels)  # bounded by the sample
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
+    sound = F.col("label").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
+    rows, _ = stored(rows.select("id", F.when(F.coalesce(sound, F.lit(False)), F.concat_ws(":", F.size("e"), "label")).alias("space"), F.when(sound, F.transform(e, lambda x: x + 0.0)).alias("e")), "vectors")
+    distinct = rows.where("space IS NOT NULL").groupBy("space", "e").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    distinct, distinct_path = stored(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")  # numbers are fixed once written
+    sizes = distinct.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    shared = spark.sparkContext.broadcast(_fitted(distinct))  # bounded by the levels
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            space, n = b.column(0).to_numpy(), b.column(3).to_numpy()
-            vec = b.column(4).to_pylist()
+            n, vec = b.column(3).to_numpy(), b.column(4).to_pylist()
             at = np.zeros((b.num_rows, 2), np.int64)
             width = np.array([len(v) for v in vec])
-            level = np.searchsorted(np.array(LEVELS) * PER_CLUSTER, n).clip(0, len(LEVELS) - 1)
+            level = np.searchsorted(np.array(LEVELS[:-1]) * PER_CLUSTER, n)
             for w in np.unique(width):
                 if int(w) not in shared.value:
                     continue
                 for k in np.unique(level[width == w]):
                     here = np.flatnonzero((width == w) & (level == k))
                     at[here] = nearest(unit(np.array([vec[i] for i in here], np.float64)), shared.value[int(w)][k])
-            yield pa.RecordBatch.from_arrays([pa.array(space), b.column(1), b.column(2), b.column(4), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["space", "rep", "copies", "e", "mine", "other"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["space", "rep", "copies", "e", "mine", "other"])
 
     dealt = distinct.join(sizes, "space").select("space", "rep", "copies", "n", "e")
-    dealt = dealt.mapInArrow(deal, "space bigint, rep bigint, copies bigint, e array<double>, mine bigint, other bigint")
-    dealt, _ = stored(dealt.select("*", F.explode(F.array_distinct(F.array("mine", "other"))).alias("task")), "dealt-vectors")
+    dealt = dealt.mapInArrow(deal, "space string, rep bigint, copies bigint, e array<double>, mine bigint, other bigint")
+    dealt, dealt_path = stored(dealt.select("*", F.explode(F.array_distinct(F.array("mine", "other"))).alias("task")), "dealt-vectors")
     wide = dealt.groupBy("space", "task").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
     # A task's members number up to two blocks; a wider cluster is cut in twice as many blocks and dealt by pairs.
     parts = dealt.join(wide, ["space", "task"], "left").withColumn("blocks", F.coalesce(F.col("blocks") * 2, F.lit(1)))
@@ -233,46 +249,58 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def work(key, table):
         _, task, lo, hi = (k.as_py() for k in key)
         ids = table.column("rep").to_numpy()
-        raw = np.array(table.column("e").to_pylist(), np.float64)
         if len(ids) < 2:
             u = v = n = np.zeros(0, np.int64)
             who = ids[:0]
         else:
+            raw = np.array(table.column("e").to_pylist(), np.float64)
             links, u, v = links_in_task(ids, raw, table.column("copies").to_numpy(), table.column("mine").to_numpy(), table.column("other").to_numpy(), task, lo != hi, table.column("block").to_numpy(), least)
             who, n = ids[links > 0], links[links > 0]
         return pa.table({"a": np.r_[who, u], "b": np.r_[who, v], "n": np.r_[n, np.zeros(len(u), np.int64)]})
 
-    found, _ = stored(parts.select("space", "task", "lo", "hi", "rep", "copies", "e", "mine", "other", "block").groupBy("space", "task", "lo", "hi").applyInArrow(work, "a bigint, b bigint, n bigint"), "vector-links")
+    found, found_path = stored(parts.select("space", "task", "lo", "hi", "rep", "copies", "e", "mine", "other", "block").groupBy("space", "task", "lo", "hi").applyInArrow(work, "a bigint, b bigint, n bigint"), "vector-links")
+    forget(spark, dealt_path)
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("a <> b").select("a", "b"))
-    reps = distinct.join(counts, distinct.rep == counts.a, "left").join(roots, distinct.rep == roots.node, "left")
-    reps = reps.select("space", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
-    linked = rows.where("space IS NOT NULL").join(reps, ["space", "e"]).select("id", "n_links", "component")
-    return linked.unionByName(rows.where("space IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
+    of_rep = distinct.select("rep", "least_id", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    of_rep, of_rep_path = stored(of_rep.select("rep", "least_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "vector-roots")
+    forget(spark, found_path)
+    least_ids = of_rep.groupBy("root").agg(F.min("least_id").alias("component"))
+    reps = distinct.select("space", "e", "rep").join(of_rep.join(least_ids, "root").select("rep", "n_links", "component"), "rep")
+    linked = rows.where("space IS NOT NULL").join(reps, ["space", "e"]).select("id", "n_links", "component", "space", "e")
+    alone = rows.where("space IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), "space", "e")
+    out, _ = stored(linked.unionByName(alone), "vector-classes")
+    forget(spark, distinct_path)
+    forget(spark, of_rep_path)
+    return out
 
 
-def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, queries: int = AUDIT) -> float:
-    """Recall of the links of up to ``queries`` vectors, spread by a hash of their ids, against all vectors by brute force."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
-    rows = rows.where("id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL").where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.exists("e", lambda x: x != 0))
-    some = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(queries).collect()
-    if not some:
-        return 1.0
-    asked = [(r["label"], np.array(r["e"])) for r in some]
+def audit(found: DataFrame, least: float = 0.98, queries: int = AUDIT) -> tuple[float | None, int]:
+    """Recall of the links of some vectors against all of ``found`` by brute force, and the number of their true links.
+
+    About ``queries`` of all vectors are asked for, and as many of those with links, chosen by a hash of the vector. Where the vectors
+    asked for have no true link, as in an empty table, the recall is null. Rows without a ``space`` have no links and are left out;
+    equal vectors are asked for together.
+    """
+    rows = found.where("space IS NOT NULL").select("id", "n_links", "space", "e")
+    n, linked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("n_links") > 0)).first()
+    some = _some(rows, queries, n, "e").unionByName(_some(rows.where("n_links > 0"), queries, linked, "space", "e"))
+    asked = [(r["space"], np.array(r["e"]), r["n_links"]) for r in some.dropDuplicates(["space", "e"]).orderBy("space", "e").collect()]
+    if not asked:
+        return None, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(len(asked), np.int64)
         for b in batches:
             by: dict = {}
-            for label, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                by.setdefault((label, len(e)), []).append(e)
+            for space, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by.setdefault(space, []).append(e)
             units = {k: unit(np.array(v, np.float64)) for k, v in by.items()}
-            for i, (label, e) in enumerate(asked):
-                if (label, len(e)) in units:
-                    tally[i] += int((units[label, len(e)] @ (e / np.sqrt(e @ e)) >= least).sum())
+            for i, (space, e, _) in enumerate(asked):
+                if space in units:
+                    tally[i] += int((units[space] @ (e / np.sqrt(e @ e)) >= least).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked))), pa.array(tally)], names=["k", "n"])
 
-    truth = {r["k"]: r["n"] - 1 for r in rows.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    got = {r["id"]: r["n_links"] for r in found.where(F.col("id").isin([r["id"] for r in some])).collect()}
-    true = sum(max(0, truth[i]) for i in range(len(some)))
-    return 1.0 if not true else sum(min(got.get(r["id"], 0), truth[i]) for i, r in enumerate(some)) / true
+    truth = {r["k"]: r["n"] - 1 for r in rows.select("space", "e").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    true = sum(truth[i] for i in range(len(asked)))
+    return (sum(min(a[2], truth[i]) for i, a in enumerate(asked)) / true if true > 0 else None), max(0, true)

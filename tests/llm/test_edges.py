@@ -88,10 +88,12 @@ def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0], 1), (4, None, 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [inf, 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0], None), (10, [1.0, 0.01], 0), (10, [1.0, 0.01], 0), (11, [1.0, 0.0, 0.0], 0), (12, [], 0),
+        (5, [0.0, 1.0], 7), (5, [1.0, 0.0], 7), (13, [1.0, 0.01], 7), (None, [1.0, 0.01], 7), (None, [0.0, -1.0], 7), (None, [3.0, 0.0], 8),
     ]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("id", F.lit("clash")).withColumn("e", F.lit("clash"))
-    got = sorted((r["id"], r["n_links"], r["component"]) for r in vecdedup.near_duplicates(df).collect())
-    assert got == [(1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 3, 1), (10, 3, 1), (11, 0, 11), (12, 0, 12)]
+    got = sorted((r["id"] or 99, r["n_links"], r["component"] or 99) for r in vecdedup.near_duplicates(df).collect())
+    # One id with different vectors: each vector has its own links; a null id links too.
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (5, 0, 5), (5, 2, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 3, 1), (10, 3, 1), (11, 0, 11), (12, 0, 12), (13, 2, 5), (99, 0, 99), (99, 0, 99), (99, 2, 5)]
     assert vecdedup.near_duplicates(df.limit(0)).count() == 0
 
 
