@@ -1,146 +1,75 @@
-"""Fuzzy line de-duplication by MinHash.
-
-1. Every line with a word becomes a 64-bit id; exact copies are one line from here on. Its signature has
-   ``BANDS * ROWS`` minima over all of its character shingles, made batch by batch in numpy.
-2. Equal bands make candidates. Every line first meets the smallest line of each of its bands; then
-   all lines of a band that are not yet connected meet, a wide band dealt as pairs of blocks. Pairs
-   left out are within one component already.
-3. The Jaccard similarity of whole shingle sets decides each candidate. Before their texts are joined, most
-   pairs that cannot reach it go by a bound that loses none (:func:`_close`).
-4. Components of the decided pairs by distributed union-find, and in each the first line in order of
+"""Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions alone.
+
+1. Every line with a word becomes a 64-bit id; exact copies are one line from here on.
+2. The shingles of a line are exploded by position, some to a row, and hashed inside generated code. The
+   signature has ``BANDS * ROWS`` minima over all of them, taken with map-side combining.
+3. Equal bands make candidates, in three rounds that compare only lines which are not yet connected: every line
+   meets the smallest line of each of its bands; then the line nearest to it in each band; then all others.
+   A wide band is dealt as pairs of blocks. Pairs left out are within one component already.
+4. The Jaccard similarity of whole shingle sets decides each candidate. Before texts are joined, most pairs that
+   cannot reach it go by a bound that loses none (:func:`_close`).
+5. Components of the decided pairs by distributed union-find, and in each the first line in order of
    (id, position) is kept.
 
 Lines are compared without white space at their ends. A line of fewer characters than a shingle is
 its own only shingle. Should two different lines share an id (a second hash tells), neither links
 with anything: a collision keeps lines and never removes one.
-
-A form in SQL functions alone took 1082 CPU seconds a GB of the check's budget of 400 (README), for the minima over exploded
-shingles and for the verification; these two run in Arrow batches. Joins, components and decisions are DataFrame operations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import forget, hot_keys, join_split, stored
+from lakeloom.llm.common import forget, hot_keys, join_split, let, stored
 from lakeloom.llm.components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
 SEED = 23
-#: Lines of a block of a wide band, 64-bit words of a sketch.
-BLOCK, SKETCH = 1024, 8
+#: Lines of a block of a wide band, 64-bit words of a sketch, shingles of an exploded row.
+BLOCK, SKETCH, TOGETHER = 256, 8, 4
 BLANK = " \t\n\x0b\x0c\r"
-#: Characters whose shingles are hashed at once, characters of texts gathered at once, and rows of pairs held at once.
-STRETCH, GATHER, CHUNK = 1 << 17, 1 << 22, 100_000
 
 
 def line_id(line: Column) -> Column:
-    """XXH64 of the line's UTF-8 bytes, seed 42, as the signatures' pass makes it."""
     return F.xxhash64(line)
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _shingles(lines: list[str], k: int, kind: type, factor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines in turn, and where each line's begin."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(kind)
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    n = np.maximum(sizes - (k - 1), 1)
-    short = np.flatnonzero(sizes < k)
-    padded = np.r_[points, np.zeros(k, kind)]
-    h = np.zeros(len(points), kind)
-    for j in range(k):
-        h = h * kind(factor) + padded[j : j + len(points)]
-    heads = np.cumsum(sizes) - sizes
-    for i in short.tolist():  # shorter than a shingle: the line itself
-        x = 0
-        for c in points[heads[i] : heads[i] + sizes[i]].tolist() + [0] * (k - int(sizes[i])):
-            x = (x * factor + c) & (2 ** (8 * h.itemsize) - 1)
-        h[heads[i]] = x
-    starts = np.cumsum(n) - n
-    return h[np.repeat(heads - starts, n) + np.arange(int(n.sum()))], starts
-
-
-def _bands(lines: list[str], k: int) -> np.ndarray:
-    """Band keys of each line: one row of BANDS signed 64-bit numbers."""
-    rng = np.random.default_rng(SEED)
-    turns = (rng.integers(0, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-    out = np.empty((len(lines), BANDS), np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
-    at = 0
-    while at < len(lines):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, "right")))
-        h, starts = _shingles(lines[at:to], k, np.uint32, 0x9E3779B1)
-        h ^= h >> np.uint32(16)
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(13)
-        h *= np.uint32(0xC2B2AE35)
-        h ^= h >> np.uint32(16)
-        for b in range(BANDS):
-            key = np.full(to - at, b + 1, np.uint64)
-            for r in range(ROWS):
-                turn, shift = turns[b * ROWS + r]
-                low = np.minimum.reduceat((h ^ shift) * turn, starts).astype(np.uint64)
-                key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(32)
-            out[at:to, b] = key
-        at = to
-    return out.view(np.int64)
-
-
-def line_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``doc``, ``of`` (hash of the whole text), ``pos`` (from 0), ``lid``, ``other`` and the bands ``b0``, ``b1``, ... of all lines that have a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            at = 0
-            while at < len(texts):
-                rows, places, index, gathered = [], [], {}, 0
-                which = []
-                while at < len(texts) and gathered < GATHER:
-                    for pos, raw in enumerate(texts[at].split("\n")):
-                        if line := raw.strip(BLANK):
-                            rows.append(at)
-                            places.append(pos)
-                            which.append(index.setdefault(line, len(index)))
-                    gathered += len(texts[at])
-                    at += 1
-                if not rows:
-                    continue
-                lines, take, rows = list(index), np.array(which), pa.array(rows, pa.int64())
-                raw_lines = [line.encode("utf-8", "surrogatepass") for line in lines]
-                lid = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw_lines], np.uint64).view(np.int64)
-                other = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw_lines], np.uint64).view(np.int64)
-                bands = _bands(lines, k)
-                cols = [b.column(0).take(rows), b.column(1).take(rows), pa.array(places, pa.int32()), pa.array(lid[take]), pa.array(other[take])]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bands[take, j]) for j in range(BANDS))], names=["doc", "of", "pos", "lid", "other", *(f"b{j}" for j in range(BANDS))])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(run, f"doc {kind}, of bigint, pos int, lid bigint, other bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS)))
-
-
-def signatures(table: DataFrame) -> DataFrame:
-    """``lid``, ``n`` (places) and the bands of every distinct line, lines that share an id left out."""
-    sig = table.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)])
-    return sig.where("lo = hi").drop("lo", "hi")
+def lines_of(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """``pos`` (from 0) and ``line`` (trimmed) of all lines that have a word, and the columns ``more``."""
+    rows = docs.select(*more, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
+    return rows.withColumn("line", F.trim(F.col("raw"), F.lit(BLANK))).where("line <> ''").drop("raw")
+
+
+def _hash(units: str, i: str, k: int) -> str:
+    """Hash of the shingle of ``k`` UTF-16 units at ``i``; binary substrings cost the shingle, not the line."""
+    return f"xxhash64(substring({units}, 2 * ({i}) + 1, {2 * k}))"
+
+
+def signatures(lines: DataFrame, k: int) -> DataFrame:
+    """``lid``, ``n`` (places) and the bands ``b0``, ``b1``, ... of every distinct line, lines that share an id left out."""
+    base = lines.select(line_id(F.col("line")).alias("lid"), F.xxhash64(F.lit(1), F.col("line")).alias("other"), F.encode("line", "UTF-16BE").alias("units"))
+    base = base.withColumn("last", F.greatest(F.expr(f"octet_length(units) div 2 - {k}"), F.lit(0)).cast("int"))
+    grams = base.select("lid", "other", "units", "last", F.explode(F.expr(f"sequence(0, last, {TOGETHER})")).alias("i"))
+    each = range(TOGETHER)
+    grams = grams.select("lid", "other", "i", *[F.expr(_hash("units", f"least(i + {j}, last)", k)).alias(f"a{j}") for j in each])
+    # Orders of the shingles: three hashes, each rotated by eight bits at a time, for a rotation costs less than a hash.
+    grams = grams.select("*", *[F.xxhash64(f"a{j}").alias(f"b{j}") for j in each], *[F.xxhash64(F.lit(SEED), F.col(f"a{j}")).alias(f"c{j}") for j in each])
+    turned = lambda h, r: F.col(h) if not r else F.shiftleft(F.col(h), r).bitwiseOR(F.shiftrightunsigned(F.col(h), 64 - r))
+    orders = [F.least(*[turned(f"{h}{j}", r) for j in each]) for r in range(0, 64, 8) for h in "abc"][: BANDS * ROWS]
+    mins = [F.min(o).alias(f"m{j}") for j, o in enumerate(orders)]
+    sig = grams.groupBy("lid").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *mins).where("lo = hi")
+    return sig.select("lid", "n", *[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
 
 
 def banded(sig: DataFrame) -> DataFrame:
-    """``band``, ``lid`` and ``low``, the band's smallest line id, of every line that shares a band."""
-    spread = sig.select("lid", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    lows = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("low")).where("n > 1")
-    return spread.join(lows, "band").select("band", "lid", "low")
+    """``band``, ``k`` (its number), ``lid`` and ``low``, the band's smallest line id, of every line that shares a band."""
+    spread = sig.select("lid", F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("k", "band"))
+    lows = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("lid").alias("low")).where("size > 1")
+    return spread.join(lows, "band").select("band", "k", "lid", "low")
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
@@ -148,159 +77,110 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return members.where("lid <> low").select(F.col("low").alias("a"), F.col("lid").alias("b")).distinct()
 
 
-def shingle_set(line: str, k: int) -> np.ndarray:
-    """The line's distinct shingles as ascending 64-bit hashes."""
-    h, _ = _shingles([line], k, np.uint64, 0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h ^ (h >> np.uint64(32)))
-
-
 def sketched(texts: DataFrame, k: int) -> DataFrame:
     """``lid``, ``n`` (distinct shingles) and the words ``w0``, ``w1``, ... of each line: a shingle toggles one bit."""
+    made = texts.select("lid", F.encode("line", "UTF-16BE").alias("u")).withColumn("last", F.greatest(F.expr(f"octet_length(u) div 2 - {k}"), F.lit(0)))
+    each = made.select("lid", F.explode(F.expr(f"array_distinct(transform(sequence(0, last), i -> {_hash('u', 'i', k)}))")).alias("h"))
+    words = [F.expr(f"bit_xor(if((h >> 6) & {SKETCH - 1} = {w}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{w}") for w in range(SKETCH)]
+    return each.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(line, k) for line in b.column(1).to_pylist()]
-            bits = np.zeros((len(sets), 64 * SKETCH), np.uint8)
-            for i, s in enumerate(sets):
-                bits[i] = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(len(sets), SKETCH)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(words[:, w]) for w in range(SKETCH))], names=["lid", "n", *(f"w{w}" for w in range(SKETCH))])
 
-    return texts.select("lid", "line").mapInArrow(run, "lid bigint, n bigint, " + ", ".join(f"w{w} bigint" for w in range(SKETCH)))
+def _apart(x, y) -> Column:
+    """Bits in which two sketches differ; ``x`` and ``y`` give a word's column."""
+    return reduce(lambda a, b: a + b, (F.bit_count(x(w).bitwiseXOR(y(w))) for w in range(SKETCH)))
 
 
-def _close(na, nb, apart, similarity: float):
-    """Whether two sets of these sizes, whose words differ in ``apart`` bits, can reach the similarity; for columns and arrays.
+def _close(nx: Column, ny: Column, apart: Column, similarity: float) -> Column:
+    """Whether two sets of these sizes, whose sketches differ in ``apart`` bits, can reach the similarity.
 
-    Two sets differ in at least as many shingles as their words in bits, so the greatest common part is (na + nb - apart) / 2.
+    Two sets differ in at least as many shingles as their sketches in bits, so the greatest common part is (nx + ny - apart) / 2.
     A little less is asked of it, for rounding.
     """
-    s = similarity - 1e-9
-    return (na >= s * nb) & (nb >= s * na) & (na + nb - apart >= s * (na + nb + apart))
+    s = F.lit(similarity - 1e-9)
+    return (nx >= s * ny) & (ny >= s * nx) & (nx + ny - apart >= s * (nx + ny + apart))
 
 
 def near_by_sketch(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs that can reach the similarity."""
     end = lambda c: sketches.select(F.col("lid").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"w{w}").alias(f"{c}{w}") for w in range(SKETCH)])
-    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(1, SKETCH)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    apart = _apart(lambda w: F.col(f"a{w}"), lambda w: F.col(f"b{w}"))
     return pairs.join(end("a"), "a").join(end("b"), "b").where(_close(F.col("na"), F.col("nb"), apart, similarity)).select("a", "b")
 
 
-def _near_in_chunk(group: np.ndarray, side: np.ndarray, lid: np.ndarray, root: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of unlike roots inside the groups of one chunk that can reach the similarity; ``group`` is ascending."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
-    found_a, found_b = [lid[:0]], [lid[:0]]
-    words = words.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        i, j = i[root[i] != root[j]], j[root[i] != root[j]]
-        apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
-        ok = _close(n[i], n[j], apart, similarity)
-        found_a.append(lid[i[ok]])
-        found_b.append(lid[j[ok]])
-
-    small = np.repeat(sizes <= 64, sizes) & (side == 2)
-    for step in range(1, 64):
-        near = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-        if not len(near):
-            break
-        keep(near, near + step)
-    for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        if size > 1 and not small[s]:
-            at = np.arange(s, s + size)
-            left, right = at[side[at] != 1], at[side[at] != 0]
-            for x in range(0, len(left), 64):
-                i, j = np.meshgrid(left[x : x + 64], right, indexing="ij")
-                once = (i < j) if side[s] == 2 else np.ones(i.shape, bool)
-                keep(i[once], j[once])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def other_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """All other pairs ``a`` < ``b`` of a band whose lines ``roots`` does not connect already and whose sketches allow the similarity.
-
-    A band is dealt as pairs of blocks of about BLOCK lines, so that no task holds all of a wide one.
+def other_pairs(members: DataFrame, sig: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float, all_of_them: bool) -> tuple[DataFrame, str]:
+    """The stored table, and its path, of pairs ``a`` < ``b`` of a band whose lines ``roots`` does not connect already and whose sketches allow the similarity.
+
+    Either all such pairs, each in the first band that its lines share, or for each line and block the nearest by sketch, so that few
+    rows connect most of what belongs together. A band is dealt as pairs of blocks of about BLOCK lines; a pair of blocks is
+    compared within one row, and no task holds all of a wide band.
     """
-    own = members.join(roots, members.lid == roots.node, "left").select("band", "lid", "low", F.coalesce("root", "lid").alias("root"))
-    apart = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("size > 2 AND r0 <> r1")
-    own = own.where("lid <> low").join(apart.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "band").join(sketches, "lid")
-    own = own.withColumn("mine", F.pmod(F.xxhash64(F.lit(SEED), "lid"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1)
-    keys = ["band", "lo", "hi"]
-    words = [f"w{w}" for w in range(SKETCH)]
-    rows = own.select("band", F.least("mine", "with").alias("lo"), F.greatest("mine", "with").alias("hi"), side.alias("side"), "lid", "root", "n", *words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush(last: bool) -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            new = np.zeros(len(cols[0]), bool)
-            new[0] = True
-            for c in cols[:3]:
-                new[1:] |= c[1:] != c[:-1]
-            cut = len(new) if last else int(np.flatnonzero(new)[-1])
-            held[:] = [] if last else [[c[cut:] for c in cols]]
-            a, b = _near_in_chunk(np.cumsum(new)[:cut], *[c[:cut] for c in cols[3:7]], np.stack([c[:cut] for c in cols[7:]], axis=1), similarity) if cut else (cols[4][:0],) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(h[0]) for h in held) >= CHUNK:
-                yield flush(False)
-        if held:
-            yield flush(True)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def decided(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets reach the similarity."""
+    own = members.join(roots, members.lid == roots.node, "left").select("band", "k", "lid", "low", F.coalesce("root", "lid").alias("root"))
+    mixed = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("size > 2 AND r0 <> r1")
+    mixed = mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    bands = sig.select("lid", F.array(*[f"b{b}" for b in range(BANDS)]).alias("bands"))
+    lines = sketches.join(bands, "lid").select("lid", F.struct("lid", "n", *[f"w{w}" for w in range(SKETCH)], "bands").alias("line"))
+    own = own.where("lid <> low").join(mixed, "band").join(lines, "lid").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "lid"), "blocks").cast("int"))
+    blocks, path = stored(own.groupBy("band", "k", "block", "blocks").agg(F.collect_list(F.struct("root", "line")).alias("lines")), "line-blocks")
+    left = blocks.select("band", "k", F.col("lines").alias("xs"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"))
+    both = left.join(blocks.select("band", "block", F.col("lines").alias("ys")), ["band", "block"])
+
+    def near(x: Column, y: Column) -> Column:
+        word = lambda line: lambda w: line["line"][f"w{w}"]
+        ok = (x["root"] != y["root"]) & _close(x["line"]["n"], y["line"]["n"], _apart(word(x), word(y)), similarity)
+        if all_of_them:
+            earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: (b < F.col("k")) & (x["line"]["bands"][b] == y["line"]["bands"][b]))
+            return ok & ~earlier
+        return ok
+
+    def nearest(x: Column) -> Column:
+        """How alike the sketches are, in thousandths, and the line, of the nearest; null where none is near."""
+        word = lambda line: lambda w: line["line"][f"w{w}"]
+        n = lambda y: x["line"]["n"] + y["line"]["n"]
+        alike = lambda y: let(_apart(word(x), word(y)), lambda apart: F.floor(1000 * (n(y) - apart) / (n(y) + apart)))
+        return F.array_max(F.transform(F.filter("ys", lambda y: near(x, y)), lambda y: F.struct(alike(y).alias("alike"), y["line"]["lid"].alias("lid"))))
+
+    if all_of_them:
+        met = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: near(x, y)), lambda y: F.struct(x["line"]["lid"].alias("x"), y["line"]["lid"].alias("y")))))
+    else:
+        met = F.filter(F.transform("xs", lambda x: F.struct(x["line"]["lid"].alias("x"), nearest(x)["lid"].alias("y"))), lambda p: p["y"].isNotNull())
+    pairs = both.select(F.explode(met).alias("p")).select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+    out = stored(pairs, "line-pairs")
+    forget(members.sparkSession, path)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-        for b in batches:
-            keep = []
-            for x, y, tx, ty in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for lid, text in ((x, tx), (y, ty)):
-                    if lid not in sets:
-                        if held > STRETCH:
-                            sets, held = {w: s for w, s in sets.items() if w in (x, y)}, 0
-                        sets[lid] = shingle_set(text, k)
-                        held += len(sets[lid])
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                keep.append(common >= similarity * (len(sets[x]) + len(sets[y]) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"t{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+def decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets reach the similarity."""
+    side = lambda c: texts.join(sketches.select("lid", "n"), "lid").select(F.col("lid").alias(c), F.encode("line", "UTF-16BE").alias(f"u{c}"), F.col("n").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    grams = lambda c: F.expr(f"transform(sequence(0, greatest(octet_length(u{c}) div 2 - {k}, 0)), i -> {_hash(f'u{c}', 'i', k)})")
+    common = F.size(F.array_intersect(grams("a"), grams("b")))
+    return both.where(let(common, lambda c: c >= F.lit(similarity) * (F.col("na") + F.col("nb") - c))).select("a", "b")
 
 
 def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarity: float) -> DataFrame:
     """``node`` and ``root`` of every line that is linked."""
     spark = docs.sparkSession
     members, members_path = stored(banded(sig), "line-members")
-    ids = members.select("lid").distinct()
-    lines = docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("raw")).select(F.trim(F.col("raw"), F.lit(BLANK)).alias("line")).where("line <> ''")
-    texts = lines.select(line_id(F.col("line")).alias("lid"), "line").join(ids, "lid", "left_semi").dropDuplicates(["lid"])
-    texts, texts_path = stored(texts, "line-texts")
+    lines = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), "line")
+    texts, texts_path = stored(lines.join(members.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]), "line-texts")
     sketches, sketches_path = stored(sketched(texts, k), "line-sketches")
-    links, links_path = stored(decided(near_by_sketch(first_pairs(members), sketches, similarity), texts, k, similarity), "line-links")
-    roots, roots_path = stored(components(links), "line-roots")
-    more, more_path = stored(decided(other_pairs(members, roots, sketches, similarity), texts, k, similarity), "line-links")
-    for path in (members_path, texts_path, sketches_path, links_path):
+    pairs, pairs_path = stored(near_by_sketch(first_pairs(members), sketches, similarity), "line-pairs")
+    roots, roots_path = None, None
+    for all_of_them in (False, True, None):
+        links = decided(pairs, texts, sketches, k, similarity)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        after, after_path = stored(components(links), "line-roots")
+        forget(spark, pairs_path)
+        if roots_path:
+            forget(spark, roots_path)
+        roots, roots_path = after, after_path
+        if all_of_them is not None:
+            pairs, pairs_path = other_pairs(members, sig, roots, sketches, similarity, all_of_them)
+    for path in (members_path, texts_path, sketches_path):
         forget(spark, path)
-    out, _ = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "line-roots")
-    forget(spark, roots_path)
-    forget(spark, more_path)
-    return out
+    return roots
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -310,13 +190,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents of their own, null ids too; rows equal in id and text are one document, whose rows keep and lose the same lines.
     """
     spark = docs.sparkSession
-    table, _ = stored(line_table(docs, id_col, text_col, k), "lines")
-    sig, sig_path = stored(signatures(table), "line-bands")
+    sig, sig_path = stored(signatures(lines_of(docs, text_col), k), "line-bands")
     roots = line_roots(docs, sig, text_col, k, similarity)
     of_line = sig.select("lid", "n").join(roots, F.col("lid") == F.col("node"), "left").where("n > 1 OR root IS NOT NULL")
     of_line, _ = stored(of_line.select("lid", "n", F.coalesce("root", "lid").alias("cls")), "line-classes")
     forget(spark, sig_path)
-    places = table.select("doc", "of", "pos", "lid")
+    places = lines_of(docs, text_col, F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of")).select("doc", "of", "pos", line_id(F.col("line")).alias("lid"))
     at, _ = stored(join_split(places, of_line.select("lid", "cls"), "lid", hot_keys(of_line, "lid"), F.xxhash64("doc", "of", "pos")).drop("lid"), "line-places")
     first = at.groupBy("cls").agg(F.min(F.struct("doc", "of", "pos")).alias("first"))
     kept = first.select(F.col("first.doc").alias("kdoc"), F.col("first.of").alias("kof"), F.col("first.pos").alias("kpos"))

@@ -82,11 +82,3 @@ def test_documents_of_one_id(spark):
     found = sorted((r["id"] or 0, r["n_lines"], r["n_dropped"]) for r in linededup.decisions(docs).collect())
     assert found == sorted([(1, 1, 1), (7, 1, 1), (7, 1, 0), (0, 1, 0), (0, 2, 0), (0, 0, 0), (8, 1, 1), (8, 1, 1)])
 
-
-def test_shingles():
-    """Hashes agree where shingles do, short lines and lines of other planes too."""
-    lines = ["ab", "abcdefghi", "abcdefghij", "xabcdefghi", "中文" * 9, "🙂" * 30, "b"]
-    sets = [set(linededup.shingle_set(x, 9).tolist()) for x in lines]
-    want = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in lines]
-    assert [len(s) for s in sets] == [len(s) for s in want]
-    assert [[len(a & b) for a in sets] for b in sets] == [[len(a & b) for a in want] for b in want]
