@@ -32,8 +32,8 @@ def suffix(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), r"\.([A-Za-z0-9]+)$", 1))
 
 
-#: Suffixes of pages; any other suffix is a file.
-PAGES = ("html", "htm", "xhtml", "php", "asp", "aspx", "jsp")
+#: Suffixes of pages; any other suffix is a file.
+PAGES = ("html", "htm", "xhtml", "php", "asp", "aspx", "jsp", "cgi")
 
 
 def is_page(url: Column, tag: Column) -> Column:

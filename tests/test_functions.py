@@ -44,14 +44,53 @@ def test_text(spark):
 
 
 def test_python_text():
-    assert pytext.decode_text("né\r\n".encode("utf-16-le")) == "né\n"
-    assert pytext.decode_text(b"\x00\x01\x02\x00") is None
+    assert pytext.text_of("né\r\n".encode("utf-16-le")) == "né\n"
+    assert pytext.text_of("\ufeffné\r".encode("utf-16-be")) == "né\n"
+    assert pytext.text_of(b"\r\n" + "né".encode("utf-16-le")) == "\nné"
+    assert pytext.text_of(b"\x01" * 9 + b"\x00") is None
+    assert pytext.text_of(b"ab\x00\x00cd\x00\x00") == "abcd"
+    assert pytext.text_of("\ufeffé".encode()) == "é" and pytext.text_of(b"") == "" and pytext.text_of(None) is None
     assert pytext.paragraphs_of("a line that is long enough to go\non here.\nNew") == ["a line that is long enough to go on here.", "New"]
-    got = pytext.recipe('a <lora:x:0.5>\nNegative prompt: b\nSteps: 2, Model: "p, q", Lora hashes: "x: 1, y: 2"')
-    assert got["Model"] == "p, q" and got["LoRA x"] == "0.5" and got["LoRA y"] == "?" and got["Negative"] == "b"
     assert webpages.markdown_of("<title>t</title><h1>A</h1><ul><li>x<li>y</ul><p><a href='https://e/'>z</a>") == "# A\n\n- x\n\n- y\n\n[z](https://e/)"
 
 
+def test_recipes(spark):
+    text = 'a <lora:x:0.5>\nNegative prompt: b\nSteps: 2, Seed: 3, Model: "p, q", Lora hashes: "x: 1, y: 2"'
+    df = spark.createDataFrame([(1, text), (2, "only a prompt\nof two lines"), (3, None), (4, "Steps: 1, Seed: 2")], "id bigint, text string")
+    got = {(r["id"], r["label"]): r["value"] for r in pytext.recipes(df, "id", "text").collect()}
+    assert got == {
+        (1, "Prompt"): "a <lora:x:0.5>", (1, "Negative"): "b", (1, "Steps"): "2", (1, "Seed"): "3", (1, "Model"): "p, q", (1, "LoRA x"): "0.5", (1, "LoRA y"): "?",
+        (2, "Prompt"): "only a prompt\nof two lines", (4, "Steps"): "1", (4, "Seed"): "2",
+    }
+
+
+def test_links(spark):
+    html = """<base href="/b/c"><a href="x?q#f">1</a><img srcset="p.png 1x, ../q.png 2x" data-src="//cdn.example/r.png"><link imagesrcset="s.png 3x"><a href="mailto:a@b">m</a>
+      <style>i{background:url('t.png')}</style><script>var a = "url(no.png)"</script><a href="https://h.example/a/">self</a><a href="x?q">again</a><form action="no"></form><object data="./u/../v.pdf">"""
+    df = spark.createDataFrame([(1, "https://h.example/a/", html), (2, None, None)], "page_id bigint, url string, html string")
+    got = [(r["seq"], r["tag"], r["target"], r["same_host"]) for r in webpages.links(df).orderBy("seq").collect()]
+    assert got == [
+        (0, "a", "https://h.example/b/x?q", True), (1, "img", "https://h.example/b/p.png", True), (2, "img", "https://h.example/q.png", True), (3, "img", "https://cdn.example/r.png", False),
+        (4, "link", "https://h.example/b/s.png", True), (5, "style", "https://h.example/b/t.png", True), (6, "a", "https://h.example/a/", True), (7, "object", "https://h.example/b/v.pdf", True),
+    ]
+    names = [(r["name"], r["is_page"]) for r in webpages.resources(webpages.links(df)).orderBy("seq").collect()]
+    assert names[:4] == [("x?q", True), ("p.png", False), ("q.png", False), ("cdn.example · r.png", False)]
+
+
+def test_url_resolution(spark):
+    """The examples of RFC 3986, section 5.4, fragments aside."""
+    from lakeloom.functions import urls
+
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q", ";x": "http://a/b/c/;x",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+        "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x",
+    }
+    got = {r["ref"]: r["out"] for r in spark.createDataFrame([(r,) for r in want], "ref string").select("ref", urls.joined(F.lit(base), F.col("ref")).alias("out")).collect()}
+    assert got == want
+
+
 def test_duplicates_edges(spark):
     rows = [("a", "x" * 1023), ("b", "x" * 1023), ("c", "y" * 1024), ("d", "y" * 1024), ("e", "z" * 65536 + "1"), ("f", "z" * 65536 + "2"), ("g", None)]
     got = duplicates.duplicate_sets(spark.createDataFrame(rows, "path string, text string"), "path", "text").collect()
