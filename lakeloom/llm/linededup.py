@@ -1,4 +1,4 @@
-"""Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions alone.
+"""Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions alone unless other steps are given.
 
 1. Every line with a word becomes a 64-bit id; exact copies are one line from here on.
 2. The shingles of a line are exploded by position, some to a row, and hashed inside generated code. The
@@ -14,11 +14,16 @@
 Lines are compared without white space at their ends. A line of fewer characters than a shingle is
 its own only shingle. Should two different lines share an id (a second hash tells), neither links
 with anything: a collision keeps lines and never removes one.
+
+In SQL functions the whole takes about 1060 CPU seconds a GB by the check tool, of which the minima over exploded shingles alone
+take 250. :mod:`linearrow` has the four dear steps in Arrow batches; a caller chooses by ``steps``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,15 @@ BLOCK, SKETCH, TOGETHER = 256, 8, 4
 BLANK = " \t\n\x0b\x0c\r"
 
 
+class Steps(NamedTuple):
+    """The steps that have two forms."""
+
+    signatures: Callable[..., DataFrame]
+    sketched: Callable[..., DataFrame]
+    other_pairs: Callable[..., tuple[DataFrame, str]]
+    decided: Callable[..., DataFrame]
+
+
 def line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -49,9 +63,9 @@ def _hash(units: str, i: str, k: int) -> str:
     return f"xxhash64(substring({units}, 2 * ({i}) + 1, {2 * k}))"
 
 
-def signatures(lines: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """``lid``, ``n`` (places) and the bands ``b0``, ``b1``, ... of every distinct line, lines that share an id left out."""
-    base = lines.select(line_id(F.col("line")).alias("lid"), F.xxhash64(F.lit(1), F.col("line")).alias("other"), F.encode("line", "UTF-16BE").alias("units"))
+    base = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), F.xxhash64(F.lit(1), F.col("line")).alias("other"), F.encode("line", "UTF-16BE").alias("units"))
     base = base.withColumn("last", F.greatest(F.expr(f"octet_length(units) div 2 - {k}"), F.lit(0)).cast("int"))
     grams = base.select("lid", "other", "units", "last", F.explode(F.expr(f"sequence(0, last, {TOGETHER})")).alias("i"))
     each = range(TOGETHER)
@@ -107,20 +121,27 @@ def near_by_sketch(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return pairs.join(end("a"), "a").join(end("b"), "b").where(_close(F.col("na"), F.col("nb"), apart, similarity)).select("a", "b")
 
 
+def members_by_band(members: DataFrame, sig: DataFrame, roots: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """The lines, other than the lowest, of each band whose lines ``roots`` does not connect yet, with sketch, bands, root and block."""
+    own = members.join(roots, members.lid == roots.node, "left").select("band", "k", "lid", "low", F.coalesce("root", "lid").alias("root"))
+    mixed = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("size > 2 AND r0 <> r1")
+    mixed = mixed.select("band", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    lines = sketches.join(sig.drop("n"), "lid")
+    own = own.where("lid <> low").drop("low").join(mixed, "band").join(lines, "lid")
+    return own.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "lid"), "blocks").cast("int"))
+
+
 def other_pairs(members: DataFrame, sig: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float, all_of_them: bool) -> tuple[DataFrame, str]:
-    """The stored table, and its path, of pairs ``a`` < ``b`` of a band whose lines ``roots`` does not connect already and whose sketches allow the similarity.
+    """The stored table, and its path, of pairs ``a`` < ``b`` of a band whose lines ``roots`` does not connect already and whose
+    sketches allow the similarity.
 
     Either all such pairs, each in the first band that its lines share, or for each line and block the nearest by sketch, so that few
     rows connect most of what belongs together. A band is dealt as pairs of blocks of about BLOCK lines; a pair of blocks is
     compared within one row, and no task holds all of a wide band.
     """
-    own = members.join(roots, members.lid == roots.node, "left").select("band", "k", "lid", "low", F.coalesce("root", "lid").alias("root"))
-    mixed = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("size > 2 AND r0 <> r1")
-    mixed = mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    bands = sig.select("lid", F.array(*[f"b{b}" for b in range(BANDS)]).alias("bands"))
-    lines = sketches.join(bands, "lid").select("lid", F.struct("lid", "n", *[f"w{w}" for w in range(SKETCH)], "bands").alias("line"))
-    own = own.where("lid <> low").join(mixed, "band").join(lines, "lid").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "lid"), "blocks").cast("int"))
-    blocks, path = stored(own.groupBy("band", "k", "block", "blocks").agg(F.collect_list(F.struct("root", "line")).alias("lines")), "line-blocks")
+    own = members_by_band(members, sig, roots, sketches, BLOCK)
+    line = F.struct("lid", "n", *[f"w{w}" for w in range(SKETCH)], F.array(*[f"b{b}" for b in range(BANDS)]).alias("bands")).alias("line")
+    blocks, path = stored(own.groupBy("band", "k", "block", "blocks").agg(F.collect_list(F.struct("root", line)).alias("lines")), "line-blocks")
     left = blocks.select("band", "k", F.col("lines").alias("xs"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"))
     both = left.join(blocks.select("band", "block", F.col("lines").alias("ys")), ["band", "block"])
 
@@ -158,17 +179,20 @@ def decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, sim
     return both.where(let(common, lambda c: c >= F.lit(similarity) * (F.col("na") + F.col("nb") - c))).select("a", "b")
 
 
-def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarity: float) -> DataFrame:
+NATIVE = Steps(signatures, sketched, other_pairs, decided)
+
+
+def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarity: float, steps: Steps) -> DataFrame:
     """``node`` and ``root`` of every line that is linked."""
     spark = docs.sparkSession
     members, members_path = stored(banded(sig), "line-members")
     lines = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), "line")
     texts, texts_path = stored(lines.join(members.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]), "line-texts")
-    sketches, sketches_path = stored(sketched(texts, k), "line-sketches")
+    sketches, sketches_path = stored(steps.sketched(texts, k), "line-sketches")
     pairs, pairs_path = stored(near_by_sketch(first_pairs(members), sketches, similarity), "line-pairs")
     roots, roots_path = None, None
     for all_of_them in (False, True, None):
-        links = decided(pairs, texts, sketches, k, similarity)
+        links = steps.decided(pairs, texts, sketches, k, similarity)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         after, after_path = stored(components(links), "line-roots")
@@ -177,21 +201,21 @@ def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarit
             forget(spark, roots_path)
         roots, roots_path = after, after_path
         if all_of_them is not None:
-            pairs, pairs_path = other_pairs(members, sig, roots, sketches, similarity, all_of_them)
+            pairs, pairs_path = steps.other_pairs(members, sig, roots, sketches, similarity, all_of_them)
     for path in (members_path, texts_path, sketches_path):
         forget(spark, path)
     return roots
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, steps: Steps = NATIVE) -> DataFrame:
     """``doc``, ``of`` (hash of the whole text), ``pos``, ``cls`` (class id) and ``kept`` of every line that the corpus holds a copy or near copy of.
 
     The kept line of a class is the first by (doc, of, pos), a null id before all others. Rows of one id with different texts are
     documents of their own, null ids too; rows equal in id and text are one document, whose rows keep and lose the same lines.
     """
     spark = docs.sparkSession
-    sig, sig_path = stored(signatures(lines_of(docs, text_col), k), "line-bands")
-    roots = line_roots(docs, sig, text_col, k, similarity)
+    sig, sig_path = stored(steps.signatures(docs, text_col, k), "line-bands")
+    roots = line_roots(docs, sig, text_col, k, similarity, steps)
     of_line = sig.select("lid", "n").join(roots, F.col("lid") == F.col("node"), "left").where("n > 1 OR root IS NOT NULL")
     of_line, _ = stored(of_line.select("lid", "n", F.coalesce("root", "lid").alias("cls")), "line-classes")
     forget(spark, sig_path)

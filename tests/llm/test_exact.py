@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import common, components, langid, linededup, pieces, queries, quality, rans, secretscan, simhash, tokencount, tokenfile, vecdedup
+from lakeloom.llm import common, components, langid, linearrow, linededup, pieces, queries, quality, rans, secretscan, simhash, tokencount, tokenfile, vecdedup
 
 
 @pytest.fixture(scope="module")
@@ -93,7 +93,8 @@ def test_fingerprint(texts):
         assert simhash.fingerprint_of(t) == sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def test_line_dedup_recall(spark, docs, texts):
+@pytest.mark.parametrize("steps", [linededup.NATIVE, linearrow.ARROW], ids=["sql", "arrow"])
+def test_line_dedup_recall(spark, docs, texts, steps):
     blank = linededup.BLANK
     lines = sorted({x.strip(blank) for t in texts.values() for x in t.split("\n") if x.strip(blank)})
     sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in lines]
@@ -107,7 +108,7 @@ def test_line_dedup_recall(spark, docs, texts):
         pairs += [(i, j) for j, n in shared.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)]
     truth = union(len(lines), pairs)
     got = {}
-    for r in linededup.line_classes(docs).collect():
+    for r in linededup.line_classes(docs, steps=steps).collect():
         got.setdefault(texts[r["doc"]].split("\n")[r["pos"]].strip(blank), set()).add(r["cls"])
     assert set(got) <= set(lines) and all(len(v) == 1 for v in got.values())
     cls = [next(iter(got[x])) if x in got else -1 - i for i, x in enumerate(lines)]  # lines without a copy have no row
