@@ -1,31 +1,28 @@
-"""Staged content de-duplication (A-01, A-02, J-10, O-02): by size, then by a digest of the head, then of the whole."""
+"""Content de-duplication (A-01, A-02, J-10, O-02) by size and digest."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLOOR, HEAD = 1024, 65536
+FLOOR = 1024
 
 
-def duplicate_members(df: DataFrame, path: str, content: str, floor: int = FLOOR, head: int = HEAD) -> DataFrame:
+def duplicate_members(df: DataFrame, path: str, content: str, floor: int = FLOOR) -> DataFrame:
     """``set_id``, ``size``, ``copies``, ``wasted`` and ``path`` of every row whose content another row has.
 
-    Rows under ``floor`` bytes and null contents are left out. The digest of the whole content is computed only
-    where it exceeds the head and the size is shared. Groups are counted, not gathered, so a set may be of any size.
+    Rows under ``floor`` bytes and null contents are left out. A content is digested where it is read, so that sizes and
+    digests are shuffled and contents are not. Groups are counted, not gathered, so a set may be of any size.
     """
-    data = F.col(content).cast("binary")
-    rows = df.select(F.col(path).alias("path"), F.octet_length(content).cast("long").alias("size"), F.sha2(F.substring(data, 1, head), 256).alias("head"), data.alias("data")).where(F.col("size") >= floor)
-    shared = rows.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = rows.join(shared, ["size", "head"], "left_semi")
-    near = near.select("path", "size", F.when(F.col("size") > head, F.sha2("data", 256)).otherwise(F.col("head")).alias("set_id"))
+    size = F.octet_length(content).cast("long")
+    near = df.select(F.col(path).alias("path"), size.alias("size"), F.sha2(F.col(content).cast("binary"), 256).alias("set_id")).where(F.col("size") >= floor)
     sets = near.groupBy("size", "set_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return near.join(sets, ["size", "set_id"]).select("set_id", "size", "copies", (F.col("size") * (F.col("copies") - 1)).alias("wasted"), "path")
 
 
-def duplicate_sets(df: DataFrame, path: str, content: str, floor: int = FLOOR, head: int = HEAD) -> DataFrame:
+def duplicate_sets(df: DataFrame, path: str, content: str, floor: int = FLOOR) -> DataFrame:
     """One row per set, the largest first: ``set_id``, ``size``, ``copies``, ``wasted`` and ``first_path``."""
-    sets = duplicate_members(df, path, content, floor, head).groupBy("set_id", "size").agg(F.max("copies").alias("copies"), F.max("wasted").alias("wasted"), F.min("path").alias("first_path"))
+    sets = duplicate_members(df, path, content, floor).groupBy("set_id", "size").agg(F.max("copies").alias("copies"), F.max("wasted").alias("wasted"), F.min("path").alias("first_path"))
     return sets.orderBy(F.desc("size"), "first_path")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.timeline import islands
+
 
 def containment(points: DataFrame, boxes: DataFrame, by: str, at: str, lo: str, hi: str, width: float) -> DataFrame:
     """Points inside the intervals of the same ``by``: an equi-join on bins of ``width``, then the exact test.
@@ -17,6 +19,17 @@ def containment(points: DataFrame, boxes: DataFrame, by: str, at: str, lo: str,
     return near.where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("__bin")
 
 
+def chains_merged(df: DataFrame, by: str, at: str, tolerance: float) -> DataFrame:
+    """``by`` and ``kept``: of each group's values those kept when each is compared, ascending, with the last kept one.
+
+    Where a value lies over the tolerance above the one before, the comparison starts anew, so only what lies between two such
+    steps is gathered and read in order; a group of any size is cut at its steps.
+    """
+    cut_up = islands(df.select(by, at).where(F.col(at).isNotNull()), by, at, tolerance)
+    runs = cut_up.groupBy(by, "island").agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("values"))
+    return runs.select(by, F.explode(merge_near(F.col("values"), tolerance)).alias("kept"))
+
+
 def merge_near(values: Column, tolerance: float) -> Column:
     """Of sorted values those kept when each is compared with the last kept one."""
     empty = F.array().cast("array<double>")

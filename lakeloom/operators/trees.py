@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.rounds import cut
+
 
 def ancestors(path: Column, itself: bool = True) -> Column:
     """Folders above a path, the root (an empty string) first, with the path itself last if asked for."""
@@ -35,9 +37,10 @@ def top_rest(nodes: DataFrame, slices: int = 12, rings: int = 3) -> DataFrame:
     """
     slices, rings = max(3, slices), max(1, rings)
     by_size = Window.partitionBy("parent").orderBy(F.desc("size"), "node")
-    ranked = nodes.where("size > 0 AND parent IS NOT NULL").withColumn("rank", F.row_number().over(by_size))
+    # The roll-up and the ranks are read for every ring.
+    ranked = cut(nodes.where("size > 0 AND parent IS NOT NULL").withColumn("rank", F.row_number().over(by_size)))
     shown = None
-    kept = nodes.where("node = ''").select("node")
+    kept = nodes.sparkSession.sql("SELECT '' AS node")
     for _ in range(rings):
         ring = ranked.join(kept.withColumnRenamed("node", "parent"), "parent", "left_semi")
         shown = ring if shown is None else shown.unionByName(ring)

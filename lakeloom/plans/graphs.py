@@ -4,38 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import graph
-from lakeloom.plans.registry import ORACLES, query
+from lakeloom.operators import graph, timeline
+from lakeloom.operators.rounds import cut
+from lakeloom.plans.registry import query
 from lakeloom.sources.tables import table
 
-_TREE = "n AS (SELECT event_id AS node, event_id // 2 AS parent FROM events WHERE event_id < 1000)"
+_TREE = "n AS (SELECT event_id AS node, event_id // 2 AS parent FROM events)"
 
 
-def _tree(spark, d, rows="event_id < 1000"):
-    return table(spark, d, "events").where(rows).select(F.col("event_id").alias("node"), F.floor(F.col("event_id") / 2).alias("parent"))
+def _tree(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("node"), F.floor(F.col("event_id") / 2).alias("parent"))
 
 
 @query(f"WITH RECURSIVE {_TREE}, r AS (SELECT node AS root, node, 0 AS depth FROM n WHERE node IN (1, 5, 9) UNION ALL SELECT r.root, n.node, r.depth + 1 FROM r JOIN n ON n.parent = r.node AND n.node <> r.node) SELECT * FROM r")
-def descendants(spark, d, rows="event_id < 1000"):
-    t = _tree(spark, d, rows)
+def descendants(spark, d):
+    t = _tree(spark, d)
     edges = t.where("node <> parent").select("parent", F.col("node").alias("child"))
     return graph.descendants(edges, t.where("node IN (1, 5, 9)").select("node"))
 
 
 @query(f"WITH RECURSIVE {_TREE}, r AS (SELECT node, 0 AS layer FROM n WHERE parent NOT IN (SELECT node FROM n WHERE node > 0) OR node <= 0 UNION ALL SELECT n.node, r.layer + 1 FROM r JOIN n ON n.parent = r.node AND n.node <> r.node AND n.node > 1) SELECT node, max(layer)::INT AS layer FROM r GROUP BY node")
-def dag_layers(spark, d, rows="event_id < 1000"):
-    t = _tree(spark, d, rows)
+def dag_layers(spark, d):
+    t = _tree(spark, d)
     edges = t.where("node > 1").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
     return graph.layers(edges, t.select("node"))
 
 
 @query(f"WITH RECURSIVE {_TREE}, r AS (SELECT node, 0 AS layer FROM n WHERE node <= 1 UNION ALL SELECT n.node, r.layer + 1 FROM r JOIN n ON n.parent = r.node AND n.node > 1) SELECT node, row_number() OVER (ORDER BY layer, node) AS position FROM r")
-def parents_first(spark, d, rows="event_id < 1000"):
-    from pyspark.sql import Window
-
-    t = _tree(spark, d, rows)
+def parents_first(spark, d):
+    t = _tree(spark, d)
     edges = t.where("node > 1").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
-    return graph.layers(edges, t.select("node")).select("node", F.row_number().over(Window.orderBy("layer", "node")).cast("long").alias("position"))
+    numbered = timeline.blocks(cut(graph.layers(edges, t.select("node"))), ["layer", "node"])
+    return numbered.select("node", (F.col("row") + 1).cast("long").alias("position"))
 
 
 @query("SELECT o_custkey AS node, count(*) AS fed, list_sort(list(DISTINCT o_orderstatus)) AS pins FROM orders GROUP BY 1")
@@ -57,12 +57,13 @@ def layered_opinions(spark, d):
     return said.groupBy("source", "field").agg(F.min_by("value", "strength").alias("value"))
 
 
-@query("WITH f AS (SELECT unnest([[l_partkey % 30, l_suppkey % 30, l_linenumber], [l_suppkey % 30, l_linenumber, l_partkey % 30]]) AS face FROM lineitem WHERE l_orderkey < 300), s AS (SELECT list_sort(face) AS face FROM f) SELECT face, count(*) AS owners FROM s GROUP BY face HAVING count(*) <= 4")
-def faces_by_owner(spark, d, rows="l_orderkey < 300"):
-    rows = table(spark, d, "lineitem").where(rows)
+@query("WITH f AS (SELECT unnest([[l_partkey % 30, l_suppkey % 30, l_linenumber], [l_suppkey % 30, l_linenumber, l_partkey % 30]]) AS face FROM lineitem), s AS (SELECT list_sort(face) AS face FROM f) SELECT face, count(*) AS owners FROM s GROUP BY face HAVING count(*) = 1")
+def faces_by_owner(spark, d):
+    """Faces of one owner: what several cells share lies inside and goes."""
+    rows = table(spark, d, "lineitem")
     a, b, c = F.col("l_partkey") % 30, F.col("l_suppkey") % 30, F.col("l_linenumber").cast("long")
     faces = rows.select(F.explode(F.array(F.array(a, b, c), F.array(b, c, a))).alias("face")).select(F.array_sort("face").alias("face"))
-    return faces.groupBy("face").agg(F.count(F.lit(1)).alias("owners")).where("owners <= 4")
+    return faces.groupBy("face").agg(F.count(F.lit(1)).alias("owners")).where("owners = 1")
 
 
 @query("SELECT o_orderkey, coalesce(n.n_name, 'id ' || c_nationkey) AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) n ON c_nationkey = n.n_nationkey")
@@ -72,26 +73,3 @@ def name_or_id(spark, d):
     rows = o.join(c, o.o_custkey == c.c_custkey, "left").join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left")  # nation is a fixed table of 25 rows
     return rows.select("o_orderkey", F.coalesce("n_name", F.concat(F.lit("id "), F.col("c_nationkey").cast("string"))).alias("label"))
 
-
-@query(ORACLES["descendants"].replace(" WHERE event_id < 1000", ""))
-def descendants_all(spark, d):
-    """``descendants`` over all events."""
-    return descendants(spark, d, "true")
-
-
-@query(ORACLES["dag_layers"].replace(" WHERE event_id < 1000", ""))
-def dag_layers_all(spark, d):
-    """``dag_layers`` over all events."""
-    return dag_layers(spark, d, "true")
-
-
-@query(ORACLES["parents_first"].replace(" WHERE event_id < 1000", ""))
-def parents_first_all(spark, d):
-    """``parents_first`` over all events."""
-    return parents_first(spark, d, "true")
-
-
-@query(ORACLES["faces_by_owner"].replace(" WHERE l_orderkey < 300", ""))
-def faces_by_owner_all(spark, d):
-    """``faces_by_owner`` over all lines."""
-    return faces_by_owner(spark, d, "true")

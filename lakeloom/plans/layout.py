@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.plans.registry import ORACLES, query
+from lakeloom.operators import graph
+from lakeloom.plans.registry import query
 from lakeloom.sources.tables import table
 
 _RUNS = "r AS (SELECT c_nationkey AS page, c_custkey AS id, round(c_acctbal, 1) AS y, 10.0::DOUBLE + c_custkey % 5 AS size FROM customer)"
@@ -114,24 +115,12 @@ SELECT b.role, coalesce(max(CASE WHEN r.role IS NULL THEN w.at END), b.role) AS
 FROM lakeloom_roles b JOIN walk w ON b.role = w.role LEFT JOIN lakeloom_roles r ON w.at = r.role GROUP BY b.role""")
 
 
-@query("WITH RECURSIVE n AS (SELECT event_id AS node, event_id // 2 AS parent, value FROM events WHERE event_id BETWEEN 1 AND 500), r AS (SELECT node, value AS total FROM n WHERE node = 1 UNION ALL SELECT n.node, r.total + n.value FROM r JOIN n ON n.parent = r.node AND n.node > 1) SELECT node, round(total, 4) AS total FROM r")
-def chained_offsets(spark, d, rows="event_id BETWEEN 1 AND 500"):
-    """Each node's value added to those of all its ancestors, a level at a time."""
-    n = table(spark, d, "events").where(rows).select(F.col("event_id").alias("node"), F.floor(F.col("event_id") / 2).alias("parent"), "value")
-    n.createOrReplaceTempView("lakeloom_chain")
-    return spark.sql("""
-WITH RECURSIVE r AS (
-  SELECT node, value AS total FROM lakeloom_chain WHERE node = 1
-  UNION ALL
-  SELECT n.node, r.total + n.value FROM r JOIN lakeloom_chain n ON n.parent = r.node AND n.node > 1
-)
-SELECT node, round(total, 4) AS total FROM r""")
-
-
-@query(ORACLES["chained_offsets"].replace(" WHERE event_id BETWEEN 1 AND 500", ""))
-def chained_offsets_all(spark, d):
-    """``chained_offsets`` over all events."""
-    return chained_offsets(spark, d, "true")
+@query("WITH RECURSIVE n AS (SELECT event_id AS node, event_id // 2 AS parent, value FROM events WHERE event_id > 0), r AS (SELECT node, value AS total FROM n WHERE node = 1 UNION ALL SELECT n.node, r.total + n.value FROM r JOIN n ON n.parent = r.node AND n.node > 1) SELECT node, round(total, 4) AS total FROM r")
+def chained_offsets(spark, d):
+    """Each node's value added to those of all its ancestors; node 0 is outside the tree."""
+    n = table(spark, d, "events").where("event_id > 0")
+    parent = F.when(F.col("event_id") > 1, F.floor(F.col("event_id") / 2))
+    return graph.chain_sums(n.select(F.col("event_id").alias("node"), parent.alias("parent"), "value")).select("node", F.round("total", 4).alias("total"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 8 = 0 AND l_linenumber % 2 = 0")

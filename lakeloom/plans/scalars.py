@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions import numbers as nm, text as tx
-from lakeloom.plans.registry import ORACLES, query
+from lakeloom.plans.registry import query
 from lakeloom.sources.tables import table
 
 
@@ -93,23 +93,16 @@ def packed_numbers(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN contains(substr(text, 1, 200), chr(10)) AND regexp_extract(substr(text, 1, 200), '(?s)^(.*)\\n', 1) <> '' THEN regexp_extract(substr(text, 1, 200), '(?s)^(.*)\\n', 1) ELSE substr(text, 1, 200) END AS cut,
-CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '…' ELSE text END AS capped, lower(regexp_replace(substr(text, 1, 80), '[^\\p{L}\\p{N}]+', '', 'g')) AS norm,
-regexp_replace(substr(text, 1, 300), '([\\\\`*_\\[\\]<>|])', '\\\\\\1', 'g') AS escaped, '"' || replace(source, '"', '""') || '"' AS quoted, trim(string_split(text, chr(10))[1]) AS first_line FROM documents""")
-def text_forms(spark, d, normed=80, escaped=300):
+CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '…' ELSE text END AS capped, lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS norm,
+regexp_replace(text, '([\\\\`*_\\[\\]<>|])', '\\\\\\1', 'g') AS escaped, '"' || replace(source, '"', '""') || '"' AS quoted, trim(string_split(text, chr(10))[1]) AS first_line FROM documents""")
+def text_forms(spark, d):
     t = F.col("text")
-    head = lambda n: F.substring(t, 1, n) if n else t
     return table(spark, d, "documents").select(
-        "doc_id", tx.cut_at_line(t, 200).alias("cut"), tx.capped(t, 50).alias("capped"), tx.title_norm(head(normed)).alias("norm"), tx.md_escape(head(escaped)).alias("escaped"),
+        "doc_id", tx.cut_at_line(t, 200).alias("cut"), tx.capped(t, 50).alias("capped"), tx.title_norm(t).alias("norm"), tx.md_escape(t).alias("escaped"),
         tx.quoted(F.col("source")).alias("quoted"), tx.first_line(t).alias("first_line"),
     )
 
 
-@query(ORACLES["text_forms"].replace("substr(text, 1, 80)", "text").replace("substr(text, 1, 300)", "text"))
-def text_forms_all(spark, d):
-    """``text_forms`` with whole texts normalised and escaped."""
-    return text_forms(spark, d, None, None)
-
-
 @query("SELECT item_id, '--- /dev/null' || chr(10) || '+++ b/item/' || item_id || chr(10) || '@@ -0,0 +1,' || len(ls) || ' @@' || chr(10) || array_to_string(list_transform(ls, lambda x: '+' || x), chr(10)) AS diff FROM (SELECT item_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM benchmark)")
 def addition_diff(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.addition_diff(F.concat(F.lit("item/"), F.col("item_id").cast("string")), F.col("text")).alias("diff"))

@@ -76,11 +76,10 @@ def nearest_gap_quartile(spark, d):
     return rows.where(F.col("k") == F.floor(F.col("n") / 4)).select("nation", F.round("gap", 6).alias("quartile"))
 
 
-@query()
+@query("WITH v AS (SELECT s_nationkey, list_sort(list(s_acctbal)) AS v FROM supplier GROUP BY 1) SELECT s_nationkey, unnest(list_reduce(v, lambda out, x: CASE WHEN len(out) = 0 OR x - out[-1] > 100 THEN list_append(out, x) ELSE out END, []::DOUBLE[])) AS kept FROM v")
 def merge_near(spark, d):
-    """Values kept of each tolerance chain, each compared with the last that was kept; per nation, in one aggregate."""
-    s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_acctbal")).alias("v"))
-    return s.select("s_nationkey", ranges.merge_near(F.col("v"), 100.0).alias("kept"))
+    """Values kept of each tolerance chain, each compared with the last that was kept."""
+    return ranges.chains_merged(table(spark, d, "supplier"), "s_nationkey", "s_acctbal", 100.0)
 
 
 @query("WITH n AS (SELECT part.*, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, CASE WHEN k = 1 THEN p_type ELSE p_type || ' (' || k || ')' END AS unique_name FROM n")

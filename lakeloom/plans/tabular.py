@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as tx
 from lakeloom.operators import timeline
-from lakeloom.plans.registry import ORACLES, query
+from lakeloom.plans.registry import query
 from lakeloom.sources.tables import table
 
 
@@ -65,15 +65,9 @@ def delimited_cells(spark, d):
     return cells.select("page_id", (F.col("pos") + 1).alias("col"), "cell", tx.typed(F.col("cell")).alias("t")).select("page_id", "col", "cell", "t.kind", "t.num")
 
 
-@query("SELECT doc_id, (k * 16)::BIGINT AS at, lower(substr(h, k * 32 + 1, 32)) AS bytes FROM (SELECT doc_id, hex(encode(substr(text, 1, 16))) AS h FROM documents), unnest(range(0, 8)) t(k) WHERE substr(h, k * 32 + 1, 32) <> ''")
-def hex_dump(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(tx.hex_dump(F.encode(F.substring("text", 1, 16), "UTF-8"))).alias("r"))
-    return rows.select("doc_id", F.conv("r.offset", 16, 10).cast("long").alias("at"), F.replace("r.bytes", F.lit(" "), F.lit("")).alias("bytes"))
-
-
 @query("SELECT doc_id, (k * 16)::BIGINT AS at, lower(substr(h, k * 32 + 1, 32)) AS bytes FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 31) // 32)) AS k FROM (SELECT doc_id, substr(hex(encode(text)), 1, 524288) AS h FROM documents))")
-def hex_dump_all(spark, d):
-    """``hex_dump`` of whole documents, up to the dump's own bound of 256 KiB."""
+def hex_dump(spark, d):
+    """Whole documents, up to the dump's own bound of 256 KiB."""
     rows = table(spark, d, "documents").select("doc_id", F.explode(tx.hex_dump(F.encode("text", "UTF-8"))).alias("r"))
     return rows.select("doc_id", F.conv("r.offset", 16, 10).cast("long").alias("at"), F.replace("r.bytes", F.lit(" "), F.lit("")).alias("bytes"))
 
@@ -106,9 +100,9 @@ def stretch_0_255(spark, d):
     return e.crossJoin(m).select("event_id", F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).alias("level"))  # one row of bounds
 
 
-@query("SELECT q, count(*) AS n, min(vec_id) AS first_id FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x: trunc(x * 10)::INT) AS q FROM embeddings) GROUP BY q")
+@query("SELECT q, count(*) AS n, min(vec_id) AS first_id FROM (SELECT vec_id, list_transform(embedding, lambda x: trunc(x * 10)::INT) AS q FROM embeddings) GROUP BY q")
 def quantised_dedup(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: (x * 10).cast("int")).alias("q"))
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x * 10).cast("int")).alias("q"))
     return v.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
 
 
@@ -189,18 +183,12 @@ def word_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9A-Za-z_]+"), F.lit(0))).cast("long").alias("n"))
 
 
-@query("SELECT l_orderkey % 100 AS k, unnest(list_transform(range(0, l_linenumber), lambda i: l_quantity)) AS v FROM lineitem WHERE l_orderkey < 500")
-def run_length_expansion(spark, d, rows="l_orderkey < 500"):
-    rows = table(spark, d, "lineitem").where(rows)
+@query("SELECT l_orderkey % 100 AS k, unnest(list_transform(range(0, l_linenumber), lambda i: l_quantity)) AS v FROM lineitem")
+def run_length_expansion(spark, d):
+    rows = table(spark, d, "lineitem")
     return rows.select((F.col("l_orderkey") % 100).alias("k"), F.explode(F.array_repeat("l_quantity", F.col("l_linenumber"))).alias("v"))
 
 
-@query(ORACLES["run_length_expansion"].replace(" WHERE l_orderkey < 500", ""))
-def run_length_expansion_all(spark, d):
-    """``run_length_expansion`` over all lines."""
-    return run_length_expansion(spark, d, "true")
-
-
 @query("SELECT source, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY source")
 def channel_grouping(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
