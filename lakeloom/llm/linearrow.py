@@ -73,30 +73,74 @@ def band_keys(lines: list[str], k: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """``lid``, ``n`` (places) and the bands ``b0``, ``b1``, ... of every distinct line, lines that share an id left out."""
+def _lines(texts: list[str], at: int) -> tuple[dict[str, int], list[int], list[int], list[int], int]:
+    """Distinct lines of about GATHER characters of texts from ``at`` on, numbered; text, position and number of each line; the next text."""
+    numbers: dict[str, int] = {}
+    rows, places, which = [], [], []
+    gathered = 0
+    while at < len(texts) and gathered < GATHER:
+        for pos, raw in enumerate(texts[at].split("\n")):
+            if line := raw.strip(BLANK):
+                rows.append(at)
+                places.append(pos)
+                which.append(numbers.setdefault(line, len(numbers)))
+        gathered += len(texts[at])
+        at += 1
+    return numbers, rows, places, which, at
+
+
+def _ids(lines, seed: int = 42) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seed) for line in lines], np.uint64).view(np.int64)
+
+
+def read(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """As :func:`linededup.read`; texts are read once, and places and bands come from one written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, at = b.column(2).to_pylist(), 0
+            while at < len(texts):
+                numbers, rows, places, which, at = _lines(texts, at)
+                if not rows:
+                    continue
+                lines, take, rows = list(numbers), np.array(which), pa.array(rows, pa.int64())
+                bands = band_keys(lines, k)
+                cols = [b.column(0).take(rows), b.column(1).take(rows), pa.array(places, pa.int32()), *(pa.array(_ids(lines, seed)[take]) for seed in (42, 7))]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bands[take, j]) for j in range(BANDS))], names=["doc", "of", "pos", "lid", "other", *(f"b{j}" for j in range(BANDS))])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    table, _ = stored(rows.mapInArrow(run, f"doc {kind}, of bigint, pos int, lid bigint, other bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS))), "lines")
+    sig = table.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)])
+    return sig.where("lo = hi").drop("lo", "hi"), table.select("doc", "of", "pos", "lid")
+
+
+#: Bits of the filter that the texts' pass holds, whatever the input: 8 MB.
+FILTER_BITS = 26
+
+
+def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+    """As :func:`linededup.texts_of`; a filter of fixed size keeps most other lines, and repeats within a batch, out of the shuffle."""
+    slot = F.col("lid").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(lid & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    held[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            at = 0
+            texts, at = b.column(0).to_pylist(), 0
             while at < len(texts):
-                places: dict[str, int] = {}
-                gathered = 0
-                while at < len(texts) and gathered < GATHER:
-                    for raw in texts[at].split("\n"):
-                        if line := raw.strip(BLANK):
-                            places[line] = places.get(line, 0) + 1
-                    gathered += len(texts[at])
-                    at += 1
-                raw_lines = [line.encode("utf-8", "surrogatepass") for line in places]
-                ids = [np.array([xxhash.xxh64_intdigest(x, seed) for x in raw_lines], np.uint64).view(np.int64) for seed in (42, 7)]
-                bands = band_keys(list(places), k)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(list(places.values()), pa.int64()), *(pa.array(bands[:, j]) for j in range(BANDS))], names=["lid", "other", "n", *(f"b{j}" for j in range(BANDS))])
-
-    rows = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(run, "lid bigint, other bigint, n bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS)))
-    sig = rows.groupBy("lid").agg(F.sum("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)])
-    return sig.where("lo = hi").drop("lo", "hi")
+                numbers, *_, at = _lines(texts, at)
+                lines = list(numbers)
+                lid = _ids(lines)
+                at_word = (lid & ((1 << FILTER_BITS) - 1)) >> 6
+                keep = np.flatnonzero(bits[at_word] >> (lid & 63).astype(np.uint64) & np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(lid[keep]), pa.array([lines[i] for i in keep.tolist()], pa.string())], names=["lid", "line"])
+
+    lines = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(run, "lid bigint, line string")
+    return lines.join(ids, "lid", "left_semi").dropDuplicates(["lid"])
 
 
 def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
@@ -247,4 +291,4 @@ def decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, sim
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-ARROW = Steps(signatures, sketched, other_pairs, decided)
+ARROW = Steps(read, texts_of, sketched, other_pairs, decided)

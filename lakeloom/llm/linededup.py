@@ -42,7 +42,8 @@ BLANK = " \t\n\x0b\x0c\r"
 class Steps(NamedTuple):
     """The steps that have two forms."""
 
-    signatures: Callable[..., DataFrame]
+    read: Callable[..., tuple[DataFrame, DataFrame]]
+    texts_of: Callable[..., DataFrame]
     sketched: Callable[..., DataFrame]
     other_pairs: Callable[..., tuple[DataFrame, str]]
     decided: Callable[..., DataFrame]
@@ -63,6 +64,18 @@ def _hash(units: str, i: str, k: int) -> str:
     return f"xxhash64(substring({units}, 2 * ({i}) + 1, {2 * k}))"
 
 
+def read(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all distinct lines, and the places of all lines: ``doc``, ``of`` (hash of the whole text), ``pos``, ``lid``."""
+    places = lines_of(docs, text_col, F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"))
+    return signatures(docs, text_col, k), places.select("doc", "of", "pos", line_id(F.col("line")).alias("lid"))
+
+
+def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+    """``lid`` and ``line`` of the lines whose ids are asked for."""
+    lines = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), "line")
+    return lines.join(ids, "lid", "left_semi").dropDuplicates(["lid"])
+
+
 def signatures(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """``lid``, ``n`` (places) and the bands ``b0``, ``b1``, ... of every distinct line, lines that share an id left out."""
     base = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), F.xxhash64(F.lit(1), F.col("line")).alias("other"), F.encode("line", "UTF-16BE").alias("units"))
@@ -179,30 +192,34 @@ def decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, sim
     return both.where(let(common, lambda c: c >= F.lit(similarity) * (F.col("na") + F.col("nb") - c))).select("a", "b")
 
 
-NATIVE = Steps(signatures, sketched, other_pairs, decided)
+NATIVE = Steps(read, texts_of, sketched, other_pairs, decided)
+
+
+def hooked(links: DataFrame) -> DataFrame:
+    """``node`` and ``root``, a linked line that it is connected with: enough to skip most of what is connected, in two joins."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("low"))
+    return low.join(low.select(F.col("node").alias("low"), F.col("low").alias("root")), "low").select("node", "root")
 
 
 def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarity: float, steps: Steps) -> DataFrame:
     """``node`` and ``root`` of every line that is linked."""
     spark = docs.sparkSession
     members, members_path = stored(banded(sig), "line-members")
-    lines = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), "line")
-    texts, texts_path = stored(lines.join(members.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]), "line-texts")
+    texts, texts_path = stored(steps.texts_of(docs, text_col, members.select("lid").distinct()), "line-texts")
     sketches, sketches_path = stored(steps.sketched(texts, k), "line-sketches")
     pairs, pairs_path = stored(near_by_sketch(first_pairs(members), sketches, similarity), "line-pairs")
-    roots, roots_path = None, None
-    for all_of_them in (False, True, None):
-        links = steps.decided(pairs, texts, sketches, k, similarity)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        after, after_path = stored(components(links), "line-roots")
+    links, links_path = stored(steps.decided(pairs, texts, sketches, k, similarity), "line-links")
+    roots, roots_path = stored(hooked(links), "line-roots")
+    for all_of_them in (False, True):
         forget(spark, pairs_path)
-        if roots_path:
-            forget(spark, roots_path)
+        pairs, pairs_path = steps.other_pairs(members, sig, roots, sketches, similarity, all_of_them)
+        links = links.unionByName(steps.decided(pairs, texts, sketches, k, similarity))
+        after, after_path = stored(components(links), "line-roots")
+        forget(spark, roots_path)
         roots, roots_path = after, after_path
-        if all_of_them is not None:
-            pairs, pairs_path = steps.other_pairs(members, sig, roots, sketches, similarity, all_of_them)
-    for path in (members_path, texts_path, sketches_path):
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for path in (pairs_path, links_path, members_path, texts_path, sketches_path):
         forget(spark, path)
     return roots
 
@@ -214,12 +231,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents of their own, null ids too; rows equal in id and text are one document, whose rows keep and lose the same lines.
     """
     spark = docs.sparkSession
-    sig, sig_path = stored(steps.signatures(docs, text_col, k), "line-bands")
+    found, places = steps.read(docs, id_col, text_col, k)
+    sig, sig_path = stored(found, "line-bands")
     roots = line_roots(docs, sig, text_col, k, similarity, steps)
     of_line = sig.select("lid", "n").join(roots, F.col("lid") == F.col("node"), "left").where("n > 1 OR root IS NOT NULL")
     of_line, _ = stored(of_line.select("lid", "n", F.coalesce("root", "lid").alias("cls")), "line-classes")
     forget(spark, sig_path)
-    places = lines_of(docs, text_col, F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of")).select("doc", "of", "pos", line_id(F.col("line")).alias("lid"))
     at, _ = stored(join_split(places, of_line.select("lid", "cls"), "lid", hot_keys(of_line, "lid"), F.xxhash64("doc", "of", "pos")).drop("lid"), "line-places")
     first = at.groupBy("cls").agg(F.min(F.struct("doc", "of", "pos")).alias("first"))
     kept = first.select(F.col("first.doc").alias("kdoc"), F.col("first.of").alias("kof"), F.col("first.pos").alias("kpos"))
