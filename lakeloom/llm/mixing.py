@@ -20,7 +20,8 @@ from lakeloom.llm.common import n_words, stored
 
 #: No source is taken more than this many times.
 MOST_COPIES = 3
-BUCKETS = 64
+#: Buckets in which the documents of one source and size are numbered.
+BUCKETS = 4096
 
 
 def source_key(source: Column) -> Column:
@@ -63,15 +64,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``size`` is the number of words (null text: 0). Every row gets a number of copies from 0 to 3, equal
     within one to target over size of its source; a source of no words gets none. Null sources are one source.
-    Rows of equal source, size and id are numbered by their text's hash; which of two identical rows comes
+    Rows of equal source, size and id are numbered by their text's hash, rows without an id in buckets of it; which of two identical rows comes
     first changes nothing. Reruns agree. No rows give no rows. Columns not named are neither read nor returned.
     """
 
     def measured(*more: Column) -> DataFrame:
         rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), *more)
-        return rows.withColumn("skey", source_key(F.col("src"))).withColumn("bucket", F.coalesce(F.pmod(F.col("id"), F.lit(BUCKETS)), F.lit(0)).cast("int"))
+        return rows.withColumn("skey", source_key(F.col("src"))).withColumn("bucket", F.pmod(F.coalesce("id", "tie", F.lit(0)), F.lit(BUCKETS)).cast("int"))
 
-    narrow, _ = stored(measured(), "sizes")
+    narrow, _ = stored(measured(), "sizes")  # every size and rank below is read from here
     rows = measured(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]) if carry else narrow
     counts = narrow.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     per_size = counts.groupBy("skey", "size").agg(F.sum("n").alias("n"))

@@ -42,6 +42,7 @@ RULES = (
     Rule("repeated_lines", "dup_line_ratio", None, 0.3),
     Rule("repeated_words", "repeat_word_ratio", None, 0.5),
     Rule("no_stop_words", "stop_words", 2, None),
+    Rule("few_stop_words", "stop_word_ratio", 0.01, None),
     Rule("few_letters", "letter_word_ratio", 0.6, None),
     Rule("bullets", "bullet_line_ratio", None, 0.9),
     Rule("ellipses", "ellipsis_line_ratio", None, 0.3),
@@ -96,6 +97,7 @@ def counts_of(text: Column) -> Column:
             F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
             F.size(F.array_intersect(words, F.array(*map(F.lit, stop_words)))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(words, lambda w: w.isin(stop_words))).cast("long").alias("n_stop_uses"),
             F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
         ]
         of_lines = lambda ls: [
@@ -122,6 +124,7 @@ RATIOS = {
     "dup_line_ratio": ("n_dup_lines", "n_lines"),
     "repeat_word_ratio": ("n_repeat_words", "n_words"),
     "stop_words": ("n_stop_words", None),
+    "stop_word_ratio": ("n_stop_uses", "n_words"),
     "letter_word_ratio": ("n_letter_words", "n_words"),
     "bullet_line_ratio": ("n_bullet_lines", "n_lines"),
     "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"),

@@ -89,7 +89,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         F.col("id").alias("doc_id"), *map(number, ("assign", "access", "hex")), F.sha2(secretscan.joined(F.col("base")), 256).alias("base_sha256"),
-        secretscan.joined(F.col("spans")).alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"),
+        secretscan.joined(F.col("spans")).alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"), F.col("repositories").alias("most_repositories"),
     )
 
 

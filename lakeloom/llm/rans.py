@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
@@ -84,15 +84,16 @@ class Coder:
         n, lanes = struct.unpack_from("<II", payload)
         state = np.frombuffer(payload, "<u8", lanes, 8).astype(np.uint64)
         body = np.frombuffer(payload, "<u4", offset=8 + 8 * lanes).astype(np.uint64)
-        if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        slots = self._slots
+        if slots is None:
+            slots = self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
         out = np.empty(n, np.uint32)
         at, mask = 0, np.uint64((1 << SCALE) - 1)
         for t in range(-(-n // lanes)):
             width = min(lanes, n - t * lanes)
             x = state[:width]
             slot = x & mask
-            k = self._slots[slot]
+            k = slots[slot]
             out[t * lanes : t * lanes + width] = k
             x = self.freq[k] * (x >> np.uint64(SCALE)) + slot - self.start[k]
             low = x < LOW
@@ -122,31 +123,54 @@ def write_file(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, table, docs, places, *payloads])
 
 
-def read_file(data: bytes) -> tuple[list, list[int], Iterator[np.ndarray]]:
-    """Document ids, lengths, and the ids block by block; a checksum that fails raises."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a token file")
-    (n,) = struct.unpack_from("<I", data, 4)
-    head = json.loads(data[8 : 8 + n])
-    at = 8 + n
-    table = zlib.decompress(data[at : at + head["table"]])
-    at += head["table"]
-    doc_ids, lengths = json.loads(zlib.decompress(data[at : at + head["docs"]]))
-    at += head["docs"]
-    places = np.frombuffer(data, "<u8", 4 * head["blocks"], at).reshape(-1, 4)
-    at += places.nbytes
-    symbols, freq = np.frombuffer(table, "<u4").reshape(2, -1)
-    coder = Coder(symbols, freq)
-
-    def blocks() -> Iterator[np.ndarray]:
-        for k, (_, offset, of_payload, of_ids) in enumerate(places.tolist()):
-            stop = at + int(places[k + 1][1]) if k + 1 < len(places) else len(data)
-            payload = data[at + offset : stop]
-            if zlib.crc32(payload) != of_payload:
-                raise ValueError(f"block {k}: payload checksum")
-            ids = coder.decode(payload)
-            if zlib.crc32(ids.astype("<u4")) != of_ids:
-                raise ValueError(f"block {k}: id checksum")
-            yield ids
-
-    return doc_ids, lengths, blocks()
+class TokenFile:
+    """A written file: document ids, lengths, and any block by its checkpoint, alone or on several threads."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != MAGIC:
+            raise ValueError("not a token file")
+        (n,) = struct.unpack_from("<I", data, 4)
+        head = json.loads(data[8 : 8 + n])
+        at = 8 + n
+        symbols, freq = np.frombuffer(zlib.decompress(data[at : at + head["table"]]), "<u4").reshape(2, -1)
+        at += head["table"]
+        self.doc_ids, self.lengths = json.loads(zlib.decompress(data[at : at + head["docs"]]))
+        at += head["docs"]
+        self.checkpoints = np.frombuffer(data, "<u8", 4 * head["blocks"], at).reshape(-1, 4)
+        self.payloads, self.n_ids = memoryview(data)[at + self.checkpoints.nbytes :], head["ids"]
+        self.coder = Coder(symbols, freq)
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of block ``k``, decoded from its checkpoint without any other block; a checksum that fails raises."""
+        first, offset, of_payload, of_ids = self.checkpoints[k].tolist()
+        after = self.checkpoints[k + 1].tolist() if k + 1 < len(self.checkpoints) else [self.n_ids, len(self.payloads)]
+        payload = bytes(self.payloads[offset : after[1]])
+        if zlib.crc32(payload) != of_payload:
+            raise ValueError(f"block {k}: payload checksum")
+        ids = self.coder.decode(payload)
+        if len(ids) != after[0] - first or zlib.crc32(ids.astype("<u4")) != of_ids:
+            raise ValueError(f"block {k}: id checksum")
+        return ids
+
+    def block_of(self, position: int) -> int:
+        """The block that holds the id at a position."""
+        return int(np.searchsorted(self.checkpoints[:, 0], position, "right")) - 1
+
+    def ids(self, first: int, n: int) -> np.ndarray:
+        """``n`` ids from position ``first`` on, of which only the blocks that hold them are decoded."""
+        if not n:
+            return np.zeros(0, np.uint32)
+        from_block = self.block_of(first)
+        parts = [self.block(k) for k in range(from_block, self.block_of(first + n - 1) + 1)]
+        skip = first - int(self.checkpoints[from_block][0])
+        return np.concatenate(parts)[skip : skip + n]
+
+    def all(self, threads: int = 1) -> np.ndarray:
+        """All ids; blocks are decoded side by side where threads are given."""
+        numbers = range(len(self.checkpoints))
+        if threads > 1:
+            with ThreadPoolExecutor(threads) as pool:
+                parts = list(pool.map(self.block, numbers))
+        else:
+            parts = [self.block(k) for k in numbers]
+        return np.concatenate([np.zeros(0, np.uint32), *parts])

@@ -3,8 +3,8 @@
 Spans of a pattern come from the gaps between its matches: the text split by the pattern and the matches
 themselves alternate, so a match starts where the lengths before it add up to. Every candidate's
 value is hashed; the hashes are aggregated over the corpus by distinct repositories and distinct owners. A
-value that several owners hold is an example that was copied around; a value that one owner holds,
-of enough different characters, looks live. The method adds the spans of long mixed tokens that look live;
+value that several owners hold, or many repositories of more than one, is an example that was copied around; any
+other, of enough different characters, looks live. The method adds the spans of long mixed tokens that look live;
 the spans of the three base patterns stay whatever their ownership.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import let, stored
+from lakeloom.llm.common import hot_keys, join_split, let, stored
 
 #: The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,8 +23,8 @@ ASSIGN_LEAST = 6
 #: The added kind: runs of 20 and more token characters with a digit, a small and a capital letter.
 MIXED = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "mixed")
-#: Owners from which on a value counts as copied around, and different characters that a live value has at least.
-OWNERS, DISTINCT = 3, 8
+#: Owners from which on a value counts as copied around, the same for repositories of two owners, and different characters that a live value has at least.
+OWNERS, REPOSITORIES, DISTINCT = 3, 10, 8
 
 
 def _running(lengths: Column) -> Column:
@@ -73,10 +73,12 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """``id``, ``base`` (spans of the base kinds), ``spans`` (all, sorted), ``live`` and ``copied`` (their numbers) of every row.
+    """``id``, ``base`` (spans of the base kinds), ``spans`` (all, sorted), ``live`` and ``copied`` (their numbers) and
+    ``repositories`` (the most that hold a value of these spans) of every row.
 
-    A null text counts as an empty one; a null repository or owner counts as no one. Rows repeat as they do in
-    ``docs``; columns not named are not read.
+    A null text counts as an empty one; a null repository or owner counts as no one. Spans that start together stay in order of
+    their kinds. Very long texts are read whole. Rows repeat as they do in ``docs``; columns not named are not read. An empty table
+    gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
@@ -90,8 +92,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     )
     rows, _ = stored(rows, "secret-spans")
     each = rows.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("s")).select("row", "repository", "owner", "s.*")
-    owned = each.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
-    judged = each.join(owned, "hash").withColumn("copied", F.col("owners") >= OWNERS).withColumn("live", ~F.col("copied") & F.col("varied"))
+    owned = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
+    owned, _ = stored(owned, "secret-owners")
+    around = (F.col("owners") >= OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= REPOSITORIES))
+    # A value that is copied everywhere is one hot key.
+    judged = join_split(each, owned.drop("n"), "hash", hot_keys(owned, "hash"), F.xxhash64("row", "start", "rank"))
+    judged = judged.withColumn("copied", around).withColumn("live", ~F.col("copied") & F.col("varied"))
     kept = judged.where((F.col("kind") != "mixed") | F.col("live"))
     per_row = kept.groupBy("row").agg(
         F.collect_list(F.struct("start", "rank", "end", "kind")).alias("spans"), F.count_if("live").alias("live"), F.count_if("copied").alias("copied"), F.max("repositories").alias("repositories")

@@ -11,11 +11,20 @@ def _listed(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+#: The rule table as the twin has it: name, measure and bounds, stated again so that a wrong threshold of the operator shows.
+QUALITY = (
+    ("too_few_words", "n_words", 50, None), ("too_many_words", "n_words", None, 1000000), ("short_words", "mean_word_length", 2, None), ("long_words", "mean_word_length", None, 14),
+    ("symbols", "symbols_per_word", None, 0.1), ("repeated_lines", "dup_line_ratio", None, 0.3), ("repeated_words", "repeat_word_ratio", None, 0.5), ("no_stop_words", "stop_words", 2, None),
+    ("few_stop_words", "stop_word_ratio", 0.01, None), ("few_letters", "letter_word_ratio", 0.6, None), ("bullets", "bullet_line_ratio", None, 0.9), ("ellipses", "ellipsis_line_ratio", None, 0.3),
+)
+
+
 def quality() -> str:
     forms = sorted({form for w in q.STOP_WORDS for form in (w, w.capitalize())})
     measure = {
         "n_words": "n_words::DOUBLE",
         "stop_words": "n_stop::DOUBLE",
+        "stop_word_ratio": "CASE WHEN n_words > 0 THEN n_stop_uses::DOUBLE / n_words ELSE 0 END",
         "mean_word_length": "CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END",
         "symbols_per_word": "CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END",
         "repeat_word_ratio": "CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END",
@@ -25,9 +34,9 @@ def quality() -> str:
         "ellipsis_line_ratio": "CASE WHEN n_lines > 0 THEN n_ellipsis::DOUBLE / n_lines ELSE 0 END",
     }
     broken = []
-    for r in q.RULES:
-        tests = [f"({measure[r.measure]}) < {r.least}"] * (r.least is not None) + [f"({measure[r.measure]}) > {r.most}"] * (r.most is not None)
-        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.name}' END")
+    for name, of, least, most in QUALITY:
+        tests = [f"({measure[of]}) < {least}"] * (least is not None) + [f"({measure[of]}) > {most}"] * (most is not None)
+        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{name}' END")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
@@ -51,6 +60,7 @@ c AS (
          coalesce(rep.n_repeat_words, 0)::BIGINT AS n_repeat_words,
          len(ls)::BIGINT AS n_lines,
          len(list_distinct(list_filter(ws, lambda x: list_contains([{_listed(forms)}], x)))) AS n_stop,
+         len(list_filter(ws, lambda x: list_contains([{_listed(forms)}], x))) AS n_stop_uses,
          len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter,
          len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\t]*[-*•]'))) AS n_bullet,
          len(list_filter(ls, lambda x: regexp_matches(x, '(?:\\.\\.\\.|…)[\\x20\\t\\r]*$'))) AS n_ellipsis
@@ -86,7 +96,7 @@ l AS (
   FROM w WINDOW o AS (ORDER BY cap / weight, skey)
 ),
 t AS (SELECT skey, source_size, CASE WHEN cap <= own_level * weight THEN cap ELSE max(CASE WHEN cap > own_level * weight THEN own_level END) OVER () * weight END AS target FROM l),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY skey ORDER BY size, coalesce(doc_id % 64, 0), doc_id) AS k FROM d),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY skey ORDER BY size, coalesce(doc_id % 4096, 0), doc_id) AS k FROM d),
 x AS (
   SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
          ('0x' || substr(md5('17:' || skey), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift
@@ -119,19 +129,17 @@ def secrets() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS src, coalesce(text, '') AS t FROM documents),
 c AS ({" UNION ALL ".join(parts)}),
-o AS (SELECT v, count(DISTINCT src) AS owners FROM c GROUP BY v),
-j AS (
-  SELECT c.*, owners >= 3 AS copied, owners < 3 AND len(list_distinct(string_split(v, ''))) >= 8 AS live
-  FROM c JOIN o USING (v)
-),
+o AS (SELECT v, count(DISTINCT src) AS owners, count(DISTINCT doc_id) AS repositories FROM c GROUP BY v),
+k AS (SELECT c.*, repositories, owners >= 3 OR owners >= 2 AND repositories >= 10 AS copied FROM c JOIN o USING (v)),
+j AS (SELECT *, NOT copied AND len(list_distinct(string_split(v, ''))) >= 8 AS live FROM k),
 g AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'mixed'), '') AS base,
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'mixed' OR live), '') AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (copied AND kind <> 'mixed') AS n_copied
+         count(*) FILTER (live) AS n_live, count(*) FILTER (copied AND kind <> 'mixed') AS n_copied, max(repositories) FILTER (kind <> 'mixed' OR live) AS most_repositories
   FROM j GROUP BY rid
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN g USING (rid)
 """

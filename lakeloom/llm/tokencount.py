@@ -4,7 +4,8 @@ In BPE a sequence of tokens is an encoding if and only if each token encodes to
 neighbouring pair, joined, encodes to the same pair. So for every prefix of a pre-token there is one
 last token that fits the encoding of what precedes it, and the count at a prefix is the count before
 its last token plus one. The table of counts answers how many tokens any prefix has, and which is the
-longest prefix within a budget, without encoding again.
+longest prefix within a budget, without encoding again. A worker stores the table of every pre-token that it
+meets; totals, truncations and the tables of whole texts are all read from these.
 
 The vocabulary marks word ends, so two tables run side by side: over prefixes that go on, and over
 prefixes that end here (the last token carries the mark). The second is the count of the prefix as a
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from lakeloom.llm.bpewords import WORD_END, byte_alphabet, special_splitter
 
 #: Pre-tokens and pairs of tokens that a worker remembers before it starts over.
-WORDS, PAIRS = 1_000_000, 1_000_000
+WORDS, PAIRS = 400_000, 1_000_000
 #: Below this all letters are composed already and lower-case one by one.
 PLAIN = regex.compile("[^\x00-\u02ff]")
 
+#: The end of a stretch that characters after it may join.
+JOINED = re.compile(r"\S*\Z")
+
 #: The same split over ASCII alone, lower-cased.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 
@@ -58,6 +63,7 @@ class PrefixCounter:
         self.word = regex.compile(WORD_END)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tokens = frozenset(t for t in self.tokens if self.merged(self.symbols(t)) == [t])
+        self.tables: dict[str, bytes | array] = {}
         self.totals = _Totals(self)
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -116,6 +122,19 @@ class PrefixCounter:
             counts[1] = counts[0] + self.totals[word[1]]  # half a contraction is an apostrophe and a letter
         return counts
 
+    def table(self, word: str) -> bytes | array:
+        """The stored counts at the prefixes of 1, 2, ... characters of a pre-token."""
+        if (found := self.tables.get(word)) is None:
+            counts = self.word_prefixes(word)
+            found = self.tables[word] = bytes(counts) if max(counts) < 256 else array("I", counts)
+        return found
+
+    def forget(self) -> None:
+        """Starts over where the stored tables are many."""
+        if len(self.totals) > WORDS:
+            self.totals.clear()
+            self.tables.clear()
+
     def normal(self, text: str) -> str:
         """The text as the vocabulary's normalizer leaves it, white space aside."""
         return self.library.normalizer.normalize_str(text) if PLAIN.search(text) else text.lower()
@@ -140,8 +159,7 @@ class PrefixCounter:
         total = 0
         for part, special in self.segments(text):
             total += 1 if special else sum(map(self.totals.__getitem__, self.words(part)))
-        if len(self.totals) > WORDS:
-            self.totals.clear()
+        self.forget()
         return total
 
     def prefix_counts(self, text: str) -> list[int]:
@@ -149,28 +167,29 @@ class PrefixCounter:
 
         A special string counts as one token where it is complete; up to there its characters count as they are.
         """
-        counts, total, before = [0], 0, ""
+        counts, total, before = [0], 0, ""  # before: what the next characters may join, back to white space
         for part, special in self.segments(text):
             if special:
-                for k in range(1, len(part)):
-                    counts.append(total - self.count(before) + self.count(before + part[:k]))
+                settled = total - self.count(before)
+                counts += [settled + self.count(before + part[:k]) for k in range(1, len(part))]
                 total, before = total + 1, ""
                 counts.append(total)
                 continue
             at = 0
             for m in self.word.finditer(part):
                 counts += [total] * (m.start() - at)
-                inside = self.word_prefixes(m.group())
+                inside = self.table(m.group())
                 counts += [total + c for c in inside]
                 total, at = total + inside[-1], m.end()
             counts += [total] * (len(part) - at)
-            before = part
+            before = JOINED.search(part).group()
+        self.forget()
         return counts
 
     def longest_within(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the text, and the characters of its longest prefix (normalised) of at most ``budget`` tokens.
 
-        Counts at word ends come from the sums; only the word that crosses the budget is looked up prefix by prefix.
+        Counts at word ends come from the sums; in the word that crosses the budget its stored table decides.
         """
         total = chars = 0
         cut = None
@@ -185,26 +204,24 @@ class PrefixCounter:
                 if cut is None and total > budget:
                     for found in self.word.finditer(part):
                         if before + self.totals[found.group()] > budget:
-                            fit = [j + 1 for j, c in enumerate(self.word_prefixes(found.group())) if before + c <= budget]
+                            fit = [j + 1 for j, c in enumerate(self.table(found.group())) if before + c <= budget]
                             cut = chars + found.start() + (fit[-1] if fit else 0)
                             break
                         before += self.totals[found.group()]
             chars += len(part)
-        if len(self.totals) > WORDS:
-            self.totals.clear()
+        self.forget()
         return total, chars if cut is None else cut
 
 
 class _Totals(dict):
-    """Tokens of whole pre-tokens, computed where first asked for."""
+    """Tokens of whole pre-tokens, read from their stored tables."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
         self.counter = counter
 
     def __missing__(self, word: str) -> int:
-        s = self.counter.as_bytes(word)
-        out = self[word] = self.counter.ended(s, len(s), *self.counter.begun(s, len(s) - 1))
+        out = self[word] = self.counter.table(word)[-1]
         return out
 
 
@@ -218,7 +235,8 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     """``id``, ``n_bytes``, ``n_tokens`` and ``within`` of every row.
 
     ``within`` is the number of characters (of the normalised text) of the longest prefix of at most ``limit``
-    tokens. A null text counts as an empty one. Rows repeat as they do in ``docs``; other columns are not read.
+    tokens. A null text counts as an empty one; a very long one is read whole, in time in proportion. Rows, equal ones too, repeat as
+    they do in ``docs``; other columns are not read. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Token ids of a corpus in range-coded files, in ascending order of document id.
 
-Documents are range-partitioned by id and sorted within partitions; each partition cuts its documents
+Documents are range-partitioned by id (and by a hash of the text where ids repeat) and sorted within partitions; each partition cuts its documents
 into files of about ``FILE_IDS`` ids (whole documents, so a file is larger only where one document is).
 A file is one value of the written table, in the shared folder, with the layout of ``rans``: the table
 is the store that executors can reach on any file system, and each file in it decodes alone.
@@ -92,7 +92,8 @@ def write_corpus(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
     """The written files: ``part``, ``seq`` (their order), ``n_ids`` and ``data``.
 
     Every row becomes a document of its ids and ``end_id``; a null text has the end alone. Null ids come first,
-    rows of equal id in order of their text. An empty table gives no files.
+    rows of equal id in order of a hash of their text, so that many of them fill many partitions. A very long text is a file of
+    its own. An empty table gives no files.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -120,19 +121,22 @@ def write_corpus(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
         if names:
             yield file()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions_for(rows), "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = rows.repartitionByRange(partitions_for(rows), "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     return stored(rows.mapInArrow(run, "part int, seq int, n_ids bigint, data binary"), "token-files")[0]
 
 
 def read_corpus(files: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """``id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document of the written files, all checksums verified."""
+    """``id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document of the written files, all checksums verified.
+
+    Files decode independently of each other; within a file any block does, from its checkpoint (:class:`rans.TokenFile`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                names, lengths, blocks = rans.read_file(data.as_py())
-                ids = np.concatenate([*blocks]).astype("<u4")
+                file = rans.TokenFile(data.as_py())
+                names, lengths, ids = file.doc_ids, file.lengths, file.all().astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 sums = [zlib.crc32(ids[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]

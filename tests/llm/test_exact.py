@@ -257,12 +257,19 @@ def test_rans_round_trip():
         for ids in (rng.integers(0, 50257, n), rng.zipf(1.3, n) % 50257, np.full(n, 1 << 31)):
             ids = ids.astype("<u4")
             data = rans.write_file([7], [n], ids)
-            names, lengths, blocks = rans.read_file(data)
-            assert names == [7] and lengths == [n] and np.array_equal(np.concatenate([np.zeros(0, np.uint32), *blocks]), ids)
-    data = bytearray(rans.write_file([1], [5000], rng.integers(0, 900, 5000).astype("<u4")))
-    data[-3] ^= 1
-    with pytest.raises(ValueError, match="checksum"):
-        list(rans.read_file(bytes(data))[2])
+            file = rans.TokenFile(data)
+            assert file.doc_ids == [7] and file.lengths == [n] and np.array_equal(file.all(), ids) and np.array_equal(file.all(threads=3), ids)
+    ids = (rng.zipf(1.3, 3 * rans.BLOCK + 99) % 50257).astype("<u4")
+    data = bytearray(rans.write_file([1], [len(ids)], ids))
+    second = int(rans.TokenFile(bytes(data)).checkpoints[1][1])
+    start = len(data) - len(rans.TokenFile(bytes(data)).payloads)
+    data[start + second - 9] ^= 1  # within the first block
+    file = rans.TokenFile(bytes(data))
+    for k in (3, 1, 2):  # each from its checkpoint, in any order
+        assert np.array_equal(file.block(k), ids[k * rans.BLOCK : (k + 1) * rans.BLOCK])
+    assert np.array_equal(file.ids(rans.BLOCK + 5, rans.BLOCK), ids[rans.BLOCK + 5 : 2 * rans.BLOCK + 5])
+    with pytest.raises(ValueError, match="block 0: payload checksum"):
+        file.all()
 
 
 def test_token_files(spark, docs, texts):
