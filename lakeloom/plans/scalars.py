@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.functions import numbers as nm, text as tx
+from lakeloom.functions import formatcodes as fc, numbers as nm, text as tx
 from lakeloom.plans.registry import query
 from lakeloom.sources.tables import table
 
@@ -31,6 +31,16 @@ def number_format_grouped(spark, d):
     return table(spark, d, "orders").select("o_orderkey", nm.grouped(F.col("o_totalprice") - 200000).alias("shown"))
 
 
+@query("""WITH v AS (SELECT o_orderkey, (o_totalprice - 200000) / 1000 AS v FROM orders), r AS (SELECT o_orderkey, v, round(abs(v)::VARCHAR::DECIMAL(38, 15), 1) AS one, round(abs(v * 100)::VARCHAR::DECIMAL(38, 15), 0)::BIGINT AS hundredths, round(abs(v)::VARCHAR::DECIMAL(38, 15), 2) AS two, round(abs(v) * 16)::BIGINT AS parts FROM v)
+SELECT o_orderkey, CASE WHEN v < 0 AND one > 0 THEN '-' ELSE '' END || one::DECIMAL(30, 1)::VARCHAR AS tenths, CASE WHEN v < 0 AND hundredths > 0 THEN '-' ELSE '' END || hundredths || '%' AS percent,
+CASE WHEN v < 0 THEN '(' || replace(two::DECIMAL(30, 2)::VARCHAR, '.', ',') || ')' ELSE replace(two::DECIMAL(30, 2)::VARCHAR, '.', ',') || ' ₽' END AS money, CASE WHEN v < 0 THEN '-' ELSE '' END || CASE WHEN parts = 0 THEN '0' ELSE parts || '/16' END AS sixteenths FROM r""")
+def number_formats(spark, d):
+    """Format codes of one and of several sections."""
+    v = F.col("v")
+    rows = table(spark, d, "orders").select("o_orderkey", ((F.col("o_totalprice") - 200000) / 1000).alias("v"))
+    return rows.select("o_orderkey", fc.formatted(v, "0.0").alias("tenths"), fc.formatted(v, "0%").alias("percent"), fc.formatted(v, '0.00 "₽";(0.00)', "ru").alias("money"), fc.formatted(v, "?/16").alias("sixteenths"))
+
+
 @query("SELECT o_orderkey, CASE WHEN s < 60 THEN TIMESTAMP '1899-12-31' ELSE TIMESTAMP '1899-12-30' END + to_days(floor(s)::INT) + to_milliseconds(round((s - floor(s)) * 86400000)::BIGINT) AS at FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 64)::DOUBLE ELSE o_orderkey % 40000 + 0.25 END AS s FROM orders)")
 def serial_dates(spark, d):
     s = F.when(F.col("o_orderkey") % 5 == 0, (F.col("o_orderkey") % 64).cast("double")).otherwise(F.col("o_orderkey") % 40000 + F.lit(0.25))
