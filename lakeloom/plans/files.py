@@ -7,6 +7,7 @@ import sqlite3
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lakeloom.operators import codepages
 from lakeloom.plans.registry import query
 from lakeloom.sources import binary, databases, delimited
 from lakeloom.sources.tables import table
@@ -109,3 +110,21 @@ def json_table(spark, d):
 def json_pretty(spark, d):
     r = table(spark, d, "region").select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".json")).alias("path"), F.encode(F.to_json(F.struct(F.col("r_regionkey").alias("key"), F.array("r_name").alias("names"))), "UTF-8").alias("content"))
     return binary.rows_of(r, delimited.json_pretty, "pretty string").drop("failure")
+
+
+_LATIN, _CYRILLIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБЦДЕФГХИЙКЛМНОПЯРСТУВШЫЗЖ"
+
+
+@query(f"SELECT n_nationkey, 'Отчёт ' || lower(translate(n_name, '{_LATIN}', '{_CYRILLIC}')) || '.txt' AS name, '<?xml encoding=\"windows-1251\"?><a>Отчёт' || n_nationkey || '</a>' AS declared, 'ё' || n_nationkey || '.mp3' AS track FROM nation")
+def code_pages(spark, d):
+    """Names from three code pages, markup that names its own, and playlists that do not."""
+    n = table(spark, d, "nation")
+    page = F.when(F.col("n_nationkey") % 3 == 0, "cp866").when(F.col("n_nationkey") % 3 == 1, "cp1251").otherwise("utf-8")
+    name = F.concat(F.lit("Отчёт "), F.lower(F.translate("n_name", _LATIN, _CYRILLIC)), F.lit(".txt"))
+    key = F.col("n_nationkey").cast("string")
+    markup = F.concat(F.lit('<?xml encoding="windows-1251"?><a>Отчёт'), key, F.lit("</a>"))
+    of_list = F.when(F.col("n_nationkey") % 2 == 0, "cp1251").otherwise("utf-8")
+    return n.select(
+        "n_nationkey", codepages.repaired_names(codepages.encoded(name, page)).alias("name"), codepages.declared_texts(codepages.encoded(markup, F.lit("cp1251"))).alias("declared"),
+        codepages.playlist_texts(codepages.encoded(F.concat(F.lit("ё"), key, F.lit(".mp3")), of_list)).alias("track"),
+    )

@@ -10,6 +10,8 @@ import re
 import tarfile
 import zipfile
 
+from lakeloom.operators.codepages import member_name
+
 MEMBERS = "name string, size bigint, packed bigint, ratio int, is_folder boolean, refused boolean"
 
 
@@ -21,7 +23,7 @@ def dangerous(name: str) -> bool:
 def zip_members(data: bytes) -> list[tuple]:
     """Name, size, packed size, ratio in percent, whether a folder, whether its name is refused."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return [(i.filename, i.file_size, i.compress_size, round(i.compress_size * 100 / i.file_size) if i.file_size else None, i.is_dir(), dangerous(i.filename)) for i in z.infolist()]
+        return [(member_name(i.filename, bool(i.flag_bits & 0x800)), i.file_size, i.compress_size, round(i.compress_size * 100 / i.file_size) if i.file_size else None, i.is_dir(), dangerous(i.filename)) for i in z.infolist()]
 
 
 def tar_members(data: bytes) -> list[tuple]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import formatcodes as fc
+from lakeloom.operators import codepages
 from lakeloom.sources import databases, delimited
 
 N = " "
@@ -51,3 +52,18 @@ def test_delimited():
     assert [r[:4] for r in delimited.json_cells(b'[{"a": 1}, {"b": [2], "a": null}, [3], "x"]')] == [(0, 0, "a", "1"), (1, 1, "b", "[2]"), (1, 0, "a", None), (2, 2, "1", "3"), (3, 3, "value", "x")]
     with pytest.raises(ValueError, match="no array"):
         delimited.json_cells(b"{}")
+
+
+def test_code_pages():
+    name = "Отчёт за август.txt"
+    for page in ("cp866", "cp1251", "utf-8"):
+        raw = name.encode(page)
+        assert codepages.repaired(raw, raw.decode("cp437")) == name
+        assert codepages.member_name(raw.decode("cp437"), False) == name
+    raw = "Отчёт.txt".encode("cp866")
+    assert codepages.repaired(raw, raw.decode("cp437"), "cp1251") == raw.decode("cp1251")
+    assert codepages.repaired(b"\xff\xfe", "as it is", "utf-8") == "as it is"
+    assert codepages.member_name("notes.txt", False) == "notes.txt" and codepages.member_name("Отчёт", True) == "Отчёт"
+    assert codepages.declared_text('<meta charset="koi8-r">ё'.encode("koi8-r")).endswith("ё")
+    assert codepages.declared_text("\ufeffё".encode("utf-16")).endswith("ё") and codepages.declared_text("ё".encode("cp1251")) == "ё" and codepages.declared_text(b"charset=nobody x") == "charset=nobody x"
+    assert codepages.playlist_text("ё".encode("cp1251")) == "ё" and codepages.playlist_text(b"") == "" and codepages.playlist_text(b"\xff", utf8=True) == "\ufffd"
