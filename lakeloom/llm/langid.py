@@ -158,7 +158,7 @@ def held_out(id_col: str):
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> DataFrame:
-    """Labelled rows for training: ``lang``, ``buckets`` and ``counts`` (the subwords of a whole text), one row per different text.
+    """Labelled rows for training: ``h`` (hash of the text), ``lang``, ``buckets`` and ``counts`` (the subwords of a whole text), one row per different text.
 
     Of each language about ``most / languages`` texts are taken, and ``LEAST`` at least, by a hash of the text; a language that has
     fewer gives all. The rows are counted where they lie: what reaches the driver depends on ``most`` and not on the input.
@@ -174,11 +174,11 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counted(characters(t)) for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["lang", "buckets", "counts"])
+            found = [counted(characters(t)) for t in b.column(2).to_pylist()]
+            cols = [b.column(0), b.column(1), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "lang", "buckets", "counts"])
 
-    return picked.select("lang", "text").mapInArrow(run, "lang string, buckets array<int>, counts array<bigint>").where("size(buckets) > 0")
+    return picked.select("h", "lang", "text").mapInArrow(run, "h bigint, lang string, buckets array<int>, counts array<int>").where("size(buckets) > 0")
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Model:
@@ -187,8 +187,13 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Null texts, texts without a letter, null labels and held-out rows teach nothing; very long texts count whole, repeated ones once.
     An empty table, or one without labels, gives a model of no languages.
     """
-    got = sample(docs, id_col, text_col, lang_col, most).orderBy("lang", "buckets", "counts").toArrow()
-    return learnt([(np.array(w, np.int64), np.array(c, np.int64), lang) for lang, w, c in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)])
+    examples = []
+    for batch in sample(docs, id_col, text_col, lang_col, most).toArrow().to_batches():
+        buckets, counts = batch.column(2), batch.column(3)
+        cuts = buckets.offsets.to_numpy()
+        where, n = buckets.values.to_numpy(), counts.values.to_numpy()
+        examples += [(h, lang, where[i:j], n[i:j]) for h, lang, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return learnt([(w, c, lang) for _, lang, w, c in sorted(examples, key=lambda e: (e[1], e[0]))])
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

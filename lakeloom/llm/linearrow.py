@@ -18,7 +18,7 @@ from lakeloom.llm.common import stored
 from lakeloom.llm.linededup import BANDS, BLANK, BLOCK, ROWS, SEED, SKETCH, Steps, members_by_band
 
 #: Characters whose shingles are hashed at once, characters of texts gathered at once, and rows of pairs held at once.
-STRETCH, GATHER, CHUNK = 1 << 17, 1 << 22, 100_000
+STRETCH, GATHER, CHUNK = 1 << 17, 1 << 20, 100_000
 #: Lines of a group that are compared by shifting, and lines of a stripe of a larger group.
 SMALL, STRIPE = 64, 64
 
