@@ -169,3 +169,33 @@ def rk(value: Column) -> Column:
     """A packed number of whole form: the low bits tell whether it is whole and in hundredths (F-08)."""
     whole = F.shiftright(value, 2).cast("double")
     return F.when(value.bitwiseAND(F.lit(1)) != 0, whole / 100).otherwise(whole)
+
+
+def filmic(value: Column) -> Column:
+    """A film-like shoulder for bright light (F-23)."""
+    v = value * 0.6
+    return (v * (2.51 * v + 0.03)) / (v * (2.43 * v + 0.59) + 0.14)
+
+
+def displayed(value: Column, exposure: float = 0.0, film: bool = False) -> Column:
+    """Light as 0 to 255: exposure in stops, the view, the display's curve; nothing and less is 0, no number too (F-23)."""
+    lit = value * 2.0**exposure
+    lit = filmic(lit) if film else lit
+    dark = value.isNull() | F.isnan(value) | (value <= 0)
+    return F.when(dark, 0).when((value == float("inf")) | (lit >= 1), 255).otherwise(F.floor(srgb(lit) * 255 + 0.5)).cast("int")
+
+
+def extended(data: Column) -> Column:
+    """The number in ten bytes of extended precision; 0 where they are too few or no finite number (F-27)."""
+    part = lambda at, n: F.conv(F.hex(F.substring(data, at, n)), 16, 10).cast("double")
+    head = part(1, 2)
+    exponent = head % 32768
+    mantissa = part(3, 4) * 4294967296.0 + part(7, 4)
+    sign = F.when(head >= 32768, -1.0).otherwise(1.0)
+    return F.when((F.octet_length(data) < 10) | (exponent == 32767) | ((exponent == 0) & (mantissa == 0)), 0.0).otherwise(sign * mantissa * F.pow(F.lit(2.0), exponent - 16446))
+
+
+def read_cost(height: Column, lines: Column, step: Column, values_per_line: Column, rate: Column) -> Column:
+    """Cost of reading every ``step``-th line of a picture in blocks of ``lines``: a block with one such line is decoded whole (A-23)."""
+    kept = F.when(step <= lines, F.ceil(height / lines)).otherwise(F.ceil(height / step))
+    return (kept * lines * values_per_line * rate).cast("double")

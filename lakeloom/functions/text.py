@@ -144,3 +144,46 @@ def hex_dump(data: Column, most: int = 262144) -> Column:
     n = F.least(F.octet_length(data), F.lit(most))
     row = lambda k: F.struct(F.lpad(F.lower(F.hex(k * 16)), 8, "0").alias("offset"), F.rtrim(F.regexp_replace(F.lower(F.hex(F.substring(data, k * 16 + 1, F.least(F.lit(16), n - k * 16)))), "(..)", "$1 ")).alias("bytes"))
     return F.when(n == 0, F.array().cast("array<struct<offset:string,bytes:string>>")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(n / 16).cast("int") - 1), row))
+
+
+#: Spaces of any width.
+ANY_SPACE = "[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]"
+
+
+def tidied(text: Column) -> Column:
+    """A text as a sentence: soft hyphens and breaks gone, words that a line's end parted joined, any spaces single (F-37).
+
+    A hyphen at a line's end goes where a small letter follows and stays before any other.
+    """
+    plain = F.regexp_replace(F.replace(text, F.lit("\u00ad"), F.lit("")), ANY_SPACE, " ")
+    small = F.regexp_replace(plain, "(\\p{L})[-\u2010]\\s*\\n\\s*(\\p{Ll})", "$1$2")
+    large = F.regexp_replace(small, "(\\p{L})[-\u2010]\\s*\\n\\s*(\\p{L})", "$1-$2")
+    return F.trim(F.regexp_replace(F.regexp_replace(large, "[\r\n\t]+", " "), " {2,}", " "))
+
+
+def leaf(target: Column) -> Column:
+    """The last part of a path or URL."""
+    of_url = F.regexp_extract(F.regexp_extract(target, r"^[^:]*://[^/?#]*([^?#]*)", 1), "([^/]*)$", 1)
+    return F.when(target.contains("://"), F.coalesce(F.nullif(of_url, F.lit("")), target)).otherwise(F.regexp_extract(F.translate(target, "\\", "/"), "([^/]*)$", 1))
+
+
+def file_title(text: Column) -> Column:
+    """A title without what file names cannot hold; ``track`` where nothing is left (P-09)."""
+    return F.coalesce(F.nullif(squeezed(F.regexp_replace(text, r'[/\\:*?"<>|]', "-")), F.lit("")), F.lit("track"))
+
+
+def track_name(order: Column, title: Column, target: Column) -> Column:
+    """A track as a file: two digits of its place, its title or its file's, and the file's own suffix (P-09)."""
+    suffix = F.regexp_extract(leaf(target), r"^.+(\.[^.]*)$", 1)
+    stem = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.substring(leaf(target), F.lit(1), F.length(leaf(target)) - F.length(suffix)))
+    return F.concat(F.lpad(order.cast("string"), F.greatest(F.lit(2), F.length(order.cast("string"))), F.lit("0")), F.lit(" "), file_title(stem), suffix)
+
+
+def trimmed_number(value: Column) -> Column:
+    """At most four decimals, zeros at the end off (F-15)."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", value), "0+$", ""), r"\.$", "")
+
+
+def table_cell(text: Column) -> Column:
+    """A text in a Markdown table: bars escaped, breaks as spaces (F-38)."""
+    return F.replace(F.regexp_replace(text, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))

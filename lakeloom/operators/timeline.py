@@ -33,6 +33,25 @@ def as_of(probes: DataFrame, keys: DataFrame, by: str, at: str, value: str, mode
     return rows.withColumn("found", found).drop("__v", "__key", "__l", "__r")
 
 
+def as_of_curved(probes: DataFrame, keys: DataFrame, by: str, at: str, value: str, leaving: str, arriving: str, second: float = 1.0) -> DataFrame:
+    """``probes`` with ``found``: between keys the cubic that leaves and arrives with the given slopes per ``second`` (J-11).
+
+    A key's slopes, one for leaving it and one for arriving at the next, belong to the stretch after it. Outside the keys the
+    first or last value holds. One shuffle by ``by``.
+    """
+    one = keys.groupBy(by, at).agg(F.max_by(F.struct(F.col(value).cast("double").alias("v"), F.col(leaving).cast("double").alias("out"), F.col(arriving).cast("double").alias("into")), value).alias("__k"))
+    both = probes.withColumn("__key", F.lit(0)).unionByName(one.withColumn("__key", F.lit(1)), allowMissingColumns=True)
+    line = Window.partitionBy(by).orderBy(F.col(at), F.desc("__key"))
+    k = F.when(F.col("__key") == 1, F.struct(F.col(at).cast("double").alias("t"), "__k.v", "__k.out", "__k.into"))
+    rows = both.withColumn("__l", F.last(k, True).over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__r", F.first(k, True).over(line.rowsBetween(0, Window.unboundedFollowing))).where("__key = 0")
+    left, right = F.col("__l"), F.col("__r")
+    span = right["t"] - left["t"]
+    u = (F.col(at).cast("double") - left["t"]) / span
+    cubic = (2 * u * u * u - 3 * u * u + 1) * left["v"] + (u * u * u - 2 * u * u + u) * left["out"] * span / second + (3 * u * u - 2 * u * u * u) * right["v"] + (u * u * u - u * u) * left["into"] * span / second
+    found = F.when(left.isNull(), right["v"]).when(right.isNull() | (span == 0), left["v"]).otherwise(cubic)
+    return rows.withColumn("found", found).drop("__k", "__key", "__l", "__r")
+
+
 def islands(df: DataFrame, by: str, at: str, gap: float) -> DataFrame:
     """``df`` with ``island``: a number that steps up where the distance to the row before exceeds ``gap``."""
     line = Window.partitionBy(by).orderBy(at)
