@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,15 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, so that a worker holds few texts as Python strings; memory of a batch is given back after it."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links a[i]-b[i] thinned to (node, smallest node of its component): as many rows as nodes at most."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import stored
+from lakeloom.llm.common import slices, stored
 
 #: Labelled rows that training gathers, dealt evenly among the languages, and those that each language may give at least.
 SAMPLE, LEAST = 3000, 50
@@ -173,7 +173,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     picked = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # about ``most`` rows of a label and a number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [counted(characters(t)) for t in b.column(2).to_pylist()]
             cols = [b.column(0), b.column(1), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "lang", "buckets", "counts"])
@@ -206,7 +206,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [predict(m, t) for t in b.column("text").to_pylist()]
             names = [n for n in b.schema.names if n != "text"]
             cols = [b.column(n) for n in names]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import stored
+from lakeloom.llm.common import slices, stored
 from lakeloom.llm.linededup import BANDS, BLANK, BLOCK, ROWS, SEED, SKETCH, Steps, members_by_band
 
 #: Characters whose shingles are hashed at once, characters of texts gathered at once, and rows of pairs held at once.
@@ -97,7 +97,7 @@ def read(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame
     """As :func:`linededup.read`; texts are read once, and places and bands come from one written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, at = b.column(2).to_pylist(), 0
             while at < len(texts):
                 numbers, rows, places, which, at = _lines(texts, at)
@@ -129,7 +129,7 @@ def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value.view(np.uint64)
-        for b in batches:
+        for b in slices(batches):
             texts, at = b.column(0).to_pylist(), 0
             while at < len(texts):
                 numbers, *_, at = _lines(texts, at)
@@ -168,15 +168,13 @@ def sketched(texts: DataFrame, k: int) -> DataFrame:
     width = 64 * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                sets = shingle_sets(b.column(1).to_pylist(), k)
-                n = np.array([len(s) for s in sets])
-                bit = np.repeat(np.arange(len(sets)) * width, n) + (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)
-                bits = (np.bincount(bit, minlength=len(sets) * width) & 1).astype(np.uint8).reshape(len(sets), width)
-                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(words[:, w]) for w in range(SKETCH))], names=["lid", "n", *(f"w{w}" for w in range(SKETCH))])
+        for b in slices(batches):
+            sets = shingle_sets(b.column(1).to_pylist(), k)
+            n = np.array([len(s) for s in sets])
+            bit = np.repeat(np.arange(len(sets)) * width, n) + (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)
+            bits = (np.bincount(bit, minlength=len(sets) * width) & 1).astype(np.uint8).reshape(len(sets), width)
+            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(words[:, w]) for w in range(SKETCH))], names=["lid", "n", *(f"w{w}" for w in range(SKETCH))])
 
     return texts.select("lid", "line").mapInArrow(run, "lid bigint, n bigint, " + ", ".join(f"w{w} bigint" for w in range(SKETCH)))
 
@@ -274,17 +272,15 @@ def decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, sim
     """The pairs whose whole shingle sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                x, y, tx, ty = (b.column(i).to_pylist() for i in range(4))
-                lines = dict(zip(x + y, tx + ty, strict=True))
-                sets = dict(zip(lines, shingle_sets(list(lines.values()), k), strict=True))
-                keep = []
-                for p, q in zip(x, y, strict=True):
-                    common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    keep.append(common >= similarity * (len(sets[p]) + len(sets[q]) - common))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches):
+            x, y, tx, ty = (b.column(i).to_pylist() for i in range(4))
+            lines = dict(zip(x + y, tx + ty, strict=True))
+            sets = dict(zip(lines, shingle_sets(list(lines.values()), k), strict=True))
+            keep = []
+            for p, q in zip(x, y, strict=True):
+                common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                keep.append(common >= similarity * (len(sets[p]) + len(sets[q]) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias(f"t{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import spanning_stars, stored
+from lakeloom.llm.common import slices, spanning_stars, stored
 from lakeloom.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint_of(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             names = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps)], names=[*names, "fp"])

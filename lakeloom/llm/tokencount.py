@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.bpewords import WORD_END, byte_alphabet, special_splitter
+from lakeloom.llm.common import slices
 
 #: Pre-tokens and pairs of tokens that a worker remembers before it starts over.
 WORDS, PAIRS = 400_000, 1_000_000
@@ -241,7 +242,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             found = [counter.longest_within(t, limit) for t in texts]
             cols = [b.column(0), b.column(2), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))]
@@ -257,7 +258,7 @@ def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
-        for b in batches:
+        for b in slices(batches):
             tables = [counter.prefix_counts(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tables, pa.list_(pa.int32()))], names=["id", "counts"])
 

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import rans
 from lakeloom.llm.bpewords import BYTE_LEVEL, special_splitter
-from lakeloom.llm.common import stored
+from lakeloom.llm.common import slices, stored
 
 #: Ids of a file; input bytes of a partition; pre-tokens that a worker remembers before it starts over.
 FILE_IDS = 1 << 21
 PARTITION_BYTES = 24 << 20
-WORDS = 600_000
+WORDS = 300_000
 #: The same split for texts of characters under U+0250, whose letters, digits and spaces are few ranges.
 LETTER, DIGIT, SPACE = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -109,7 +109,7 @@ def write_corpus(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 
         n = 0
-        for b in batches:
+        for b in slices(batches):
             for name, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 names.append(name)
                 held.append(ids + end)
