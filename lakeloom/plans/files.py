@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import codepages
 from lakeloom.plans.registry import query
-from lakeloom.sources import binary, databases, delimited
+from lakeloom.sources import binary, databases, delimited, registry
 from lakeloom.sources.tables import table
 
 
@@ -128,3 +128,20 @@ def code_pages(spark, d):
         "n_nationkey", codepages.repaired_names(codepages.encoded(name, page)).alias("name"), codepages.declared_texts(codepages.encoded(markup, F.lit("cp1251"))).alias("declared"),
         codepages.playlist_texts(codepages.encoded(F.concat(F.lit("ё"), key, F.lit(".mp3")), of_list)).alias("track"),
     )
+
+
+@query("WITH f AS (SELECT n_nationkey, n_nationkey % 5 AS k FROM nation) SELECT 'f' || n_nationkey || CASE k WHEN 0 THEN '.db' WHEN 1 THEN '.CSV' WHEN 2 THEN '.csv' WHEN 3 THEN '.none' ELSE '.json' END AS path, CASE k WHEN 0 THEN 'database' WHEN 1 THEN 'delimited' WHEN 2 THEN 'database' WHEN 4 THEN 'json' END AS reader, CASE k WHEN 3 THEN 0 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 1 END AS rows FROM f")
+def reader_choice(spark, d):
+    """The reader of each file and the rows that it gives: a database named .csv is a database, an unknown file has none."""
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t (x)")
+    base, k = con.serialize(), F.col("n_nationkey") % 5
+    suffix = F.when(k == 0, ".db").when(k == 1, ".CSV").when(k == 2, ".csv").when(k == 3, ".none").otherwise(".json")
+    content = F.when(k.isin(0, 2), F.lit(base)).when(k == 1, F.lit(b"a,b\n1,2\n")).when(k == 4, F.lit(b'[{"a": 1}]')).otherwise(F.lit(b"plain"))
+    files = table(spark, d, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string"), suffix).alias("path"), content.alias("content"))
+    chosen = files.select("path", registry.reader_of(F.col("path"), F.col("content")).alias("reader"))
+    rows = None
+    for name in ("database", "delimited", "json"):
+        one = registry.read(files, name).select("path")
+        rows = one if rows is None else rows.unionByName(one)
+    return chosen.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows")), "path", "left").select("path", "reader", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -9,8 +9,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 CELLS = "sheet string, row int, col int, kind string, value string"
-#: Columns beyond this are not made of repeats.
-MOST_COLUMNS = 1024
+#: Columns of the widest sheet; a repeat that claims more is damage.
+MOST_COLUMNS = 16_384
 
 
 def _local(tag: str) -> str:
@@ -62,7 +62,9 @@ def _ods_rows(table: ET.Element, sheet: str) -> Iterator[tuple]:
             text = "\n".join("".join(p.itertext()) for p in c if _local(p.tag) == "p")
             kind = {"float": "number", "currency": "number", "percentage": "number", "boolean": "bool", "date": "date"}.get(_attr(c, "value-type", ""), "text")
             if text:
-                found += [(col + k, kind, _attr(c, "value") or text) for k in range(min(times, MOST_COLUMNS - col))]
+                if col + times > MOST_COLUMNS:
+                    raise ValueError(f"{col + times} columns")
+                found += [(col + k, kind, _attr(c, "value") or text) for k in range(times)]
             col += times
         times = int(_attr(r, "number-rows-repeated", "1"))
         for k in range(times if found else 0):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import formatcodes as fc
 from lakeloom.operators import codepages
-from lakeloom.sources import databases, delimited
+from lakeloom.sources import databases, delimited, registry, sheets
 
 N = " "
 SHOWN = [
@@ -67,3 +67,33 @@ def test_code_pages():
     assert codepages.declared_text('<meta charset="koi8-r">ё'.encode("koi8-r")).endswith("ё")
     assert codepages.declared_text("\ufeffё".encode("utf-16")).endswith("ё") and codepages.declared_text("ё".encode("cp1251")) == "ё" and codepages.declared_text(b"charset=nobody x") == "charset=nobody x"
     assert codepages.playlist_text("ё".encode("cp1251")) == "ё" and codepages.playlist_text(b"") == "" and codepages.playlist_text(b"\xff", utf8=True) == "\ufffd"
+
+
+def test_registry(spark):
+    own = registry.entries_of('[{"name": "tabs", "suffixes": ["txt"], "priority": 3}, {"name": "json", "heads": ["5b"], "priority": 3}]')
+    files = spark.createDataFrame([("a.txt", bytearray(b"x")), ("b.txt", bytearray(b"[1]")), ("c", None)], "path string, content binary")
+    got = {r[0]: r[1] for r in files.select("path", registry.reader_of(F.col("path"), F.col("content"), own)).collect()}
+    assert got == {"a.txt": "tabs", "b.txt": "json", "c": None}
+    assert [r["value"] for r in registry.read(files, "json", own).collect()] == ["1"]
+    with pytest.raises(ValueError, match="unknown readers"):
+        registry.entries_of('[{"name": "nobody"}]')
+    schema = {"hidden": registry.Setting("boolean", False), "rings": registry.Setting("integer", 3, 1, 6), "by": registry.Setting("choice", "size", choices=("size", "name")), "title": registry.Setting("text", "all")}
+    assert registry.settled(schema, {}) == {"hidden": False, "rings": 3, "by": "size", "title": "all"}
+    assert registry.settled(schema, {"hidden": True, "rings": "9", "by": "age", "title": ""}) == {"hidden": True, "rings": 6, "by": "size", "title": "all"}
+    with pytest.raises(KeyError):
+        registry.settled(schema, {"other": 1})
+
+
+def test_wide_repeats():
+    import io
+    import zipfile
+
+    def sheet(times):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("content.xml", f'<o:d xmlns:o="o" xmlns:t="t" xmlns:x="x"><t:table t:name="T"><t:table-row><t:table-cell t:number-columns-repeated="{times}"><x:p>r</x:p></t:table-cell></t:table-row></t:table></o:d>')
+        return list(sheets.ods(out.getvalue()))
+
+    assert len(sheet(3000)) == 3000
+    with pytest.raises(ValueError, match="columns"):
+        sheet(1_000_000)
