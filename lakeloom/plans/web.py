@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as tx
-from lakeloom.operators import pytext, webpages
+from lakeloom.operators import generations, pytext, webpages
 from lakeloom.plans.registry import query
 from lakeloom.sources.tables import table
 
@@ -88,3 +88,31 @@ def recipe_fields(spark, d):
 def playlist_tracks(spark, d):
     text = "#EXTM3U\n#EXTINF:194,Song\n#comment\na.mp3\nhttp://x/y.mp3\n#EXTINF:9,Dropped\n#EXTINF:5,Last\n/abs/c.mp3\n"
     return webpages.playlist(spark.createDataFrame([(text,)], "text string"), "/m")
+
+
+_SAID = "CASE event_id % 6 WHEN 0 THEN 'InvokeAI' WHEN 1 THEN 'NovelAI' WHEN 2 THEN 'Unknown tool' WHEN 3 THEN 'AUTOMATIC1111' WHEN 4 THEN 'ComfyUI' ELSE 'Midjourney' END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, event_type, user_id, event_id % 6 AS k, {_SAID} AS tool FROM events), f AS (
+SELECT id, tool, 'Prompt' AS label, 'a ' || event_type AS value FROM e UNION ALL
+SELECT id, tool, CASE k WHEN 5 THEN 'Aspect ratio' ELSE 'Seed' END, CASE k WHEN 5 THEN '16:9' ELSE user_id::VARCHAR END FROM e UNION ALL
+SELECT id, tool, 'Negative', 'rain' FROM e WHERE k IN (1, 3, 5) UNION ALL SELECT id, tool, 'Size', '512×768' FROM e WHERE k IN (0, 2) UNION ALL SELECT id, tool, 'Steps', '20' FROM e WHERE k = 3 UNION ALL SELECT id, tool, 'Model', 'm' FROM e WHERE k = 0 UNION ALL
+SELECT id, tool, unnest(['CFG', 'LoRA l', 'Checkpoint', 'Passes', 'Nodes']), unnest(['7.5', '0.8', 'c', '12', '7']) FROM e WHERE k = 4) SELECT * FROM f""")
+def picture_recipes(spark, d):
+    """Pictures of six tools, each recognised by what it carries; the graph's sampler takes its seed from a node and its prompt over another."""
+    k = F.col("event_id") % 6
+    prompt, seed = F.concat(F.lit("a "), F.col("event_type")), F.col("user_id").cast("string")
+    graph = F.concat(
+        F.lit('{"9": {"class_type": "KSampler", "inputs": {"positive": ["3", 0], "seed": ["4", 0], "cfg": 7.5, "model": ["5", 0]}}, "12": {"class_type": "KSampler", "inputs": {"latent_image": ["9", 0]}}, "3": {"class_type": "Combine", "inputs": {"conditioning": ["2", 0]}}, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": "'),
+        prompt, F.lit('"}}, "4": {"class_type": "Primitive", "inputs": {"value": '), seed, F.lit('}}, "5": {"class_type": "LoraLoader", "inputs": {"lora_name": "l", "strength_model": 0.8, "model": ["6", 0]}}, "6": {"class_type": "Loader", "inputs": {"ckpt_name": "c"}}}'),
+    )
+    one = lambda name, *parts: F.create_map(F.lit(name), F.concat(*parts))
+    carried = (
+        F.when(k == 0, one("invokeai_metadata", F.lit('{"positive_prompt": "'), prompt, F.lit('", "seed": '), seed, F.lit(', "width": 512, "height": 768, "model": {"name": "m"}}')))
+        .when(k == 1, one("Comment", F.lit('{"prompt": "'), prompt, F.lit('", "uc": "rain", "seed": '), seed, F.lit("}")))
+        .when(k == 2, one("parameters", F.lit('{"Prompt": "'), prompt, F.lit('", "noise_seed": '), seed, F.lit(', "Resolution": "512×768"}')))
+        .when(k == 3, one("parameters", prompt, F.lit("\nNegative prompt: rain\nSteps: 20, Seed: "), seed))
+        .when(k == 4, one("prompt", graph))
+        .otherwise(one("Description", prompt, F.lit(" --ar 16:9 --no rain Job ID: 1-2")))
+    )
+    return generations.recognised(table(spark, d, "events").select("event_id", carried.alias("carried")), "event_id", "carried")

@@ -116,3 +116,20 @@ def test_trees_edges(spark):
 
 def test_merge_near(spark):
     assert one(spark, ranges.merge_near(F.array(*map(F.lit, (1.0, 1.5, 2.1, 3.2))), 1.0)) == [1.0, 2.1, 3.2]
+
+
+def test_generations(spark):
+    from lakeloom.operators import generations as g
+
+    assert [g.scalar(v) for v in (None, True, 1.5, 2.0, {"a": 1}, " x ")] == ["", "yes", "1.5", "2", '{"a": 1}', "x"]
+    loop = '{"1": {"class_type": "KSampler", "inputs": {"positive": ["2", 0]}}, "2": {"class_type": "TextEncode", "inputs": {"text": ["2", 0], "conditioning": ["2", 0]}}}'
+    assert g.fields_of_graph(loop) == [("Nodes", "2")] and g.fields_of_graph("{") == [] and g.fields_of_graph("{}") == []
+    rows = [
+        (1, {"sd-metadata": '{"model_weights": "w", "image": {"prompt": "old", "seed": 3}}'}), (2, {"parameters": '{"sui_image_params": {"prompt": "swarm", "steps": 4}}'}), (3, {"parameters": '{"prompt": "f"}', "fooocus_scheme": "x"}),
+        (4, {"parameters": '{"nothing": 1}'}), (5, {"Comment": "plain words"}), (6, None), (7, {"invokeai_metadata": "broken {", "Description": "a cat --v 6 --tile"}),
+    ]
+    got = {(r["id"], r["tool"], r["label"]): r["value"] for r in g.recognised(spark.createDataFrame(rows, "id int, carried map<string,string>"), "id", "carried").collect()}
+    assert got == {
+        (1, "InvokeAI", "Prompt"): "old", (1, "InvokeAI", "Seed"): "3", (2, "SwarmUI", "Prompt"): "swarm", (2, "SwarmUI", "Steps"): "4", (3, "Fooocus", "Prompt"): "f",
+        (7, "Midjourney", "Prompt"): "a cat", (7, "Midjourney", "Version"): "6", (7, "Midjourney", "--tile"): "on",
+    }
