@@ -44,6 +44,20 @@ def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Input of fewer bytes is dealt anew before work row by row: one row group is one task, however many cores there are.
+SMALL_INPUT = 64 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of what a plan reads, by its own statistics."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is small; as it is where its files give tasks enough."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if input_bytes(df) < SMALL_INPUT else df
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`stored` wrote and that no later read needs."""
     jvm = spark.sparkContext._jvm

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import langid, linearrow, linededup, mixing, pieces, quality, secretscan, simhash, sql, tokencount, tokenfile, vecdedup
+from lakeloom.llm.common import spread
 
 
 #: Where the public vocabularies lie; a parameter of each operator.
@@ -23,7 +24,7 @@ def vocabulary(name: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

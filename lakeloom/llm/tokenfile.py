@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import rans
 from lakeloom.llm.bpewords import BYTE_LEVEL, special_splitter
-from lakeloom.llm.common import slices, stored
+from lakeloom.llm.common import input_bytes, slices, stored
 
 #: Ids of a file; input bytes of a partition; pre-tokens that a worker remembers before it starts over.
 FILE_IDS = 1 << 21
@@ -84,8 +84,7 @@ def encoder_of(path: str) -> Encoder:
 
 def partitions_for(docs: DataFrame) -> int:
     """Partitions such that one holds about ``PARTITION_BYTES`` of the input, by the plan's own statistics."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(size // PARTITION_BYTES + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000))
+    return int(min(max(input_bytes(docs) // PARTITION_BYTES + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000))
 
 
 def write_corpus(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
