@@ -187,3 +187,19 @@ def trimmed_number(value: Column) -> Column:
 def table_cell(text: Column) -> Column:
     """A text in a Markdown table: bars escaped, breaks as spaces (F-38)."""
     return F.replace(F.regexp_replace(text, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
+
+
+def role(name: Column, ordered: list[tuple[str, str]], otherwise: str = "other") -> Column:
+    """The role of the first part of a list, in its order, that a name holds, whatever the case (P-12)."""
+    low, out = F.lower(name), F.lit(otherwise)
+    for part, of_it in reversed(ordered):
+        out = F.when(low.contains(part), of_it).otherwise(out)
+    return out
+
+
+def fields(document: Column, most: int = 120) -> Column:
+    """``key: value`` of a JSON object's own scalars, breaks as spaces, long ones cut with an ellipsis (P-13)."""
+    members = F.map_entries(F.from_json(document, "map<string,string>"))
+    plain = F.filter(members, lambda m: m["value"].isNotNull() & ~F.trim(m["value"]).rlike(r"^[\[{]"))
+    one = lambda v: F.when(F.length(v) > most, F.concat(F.substring(v, 1, most - 1), F.lit("…"))).otherwise(v)
+    return F.transform(plain, lambda m: F.concat(m["key"], F.lit(": "), one(F.regexp_replace(m["value"], r"[\r\n]+", " "))))

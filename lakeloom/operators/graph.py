@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.rounds import cut
+from lakeloom.operators.timeline import blocks
 
 #: Rounds after which a graph counts as cyclic; pointer doubling needs the logarithm of its depth alone.
 MOST_ROUNDS, MOST_DOUBLINGS = 10_000, 64
@@ -60,3 +61,14 @@ def chain_sums(nodes: DataFrame, most: int = MOST_DOUBLINGS) -> DataFrame:
         moved = now.where("up IS NOT NULL").join(ahead, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), (F.col("total") + F.col("gathered")).alias("total"))
         now = cut(moved.unionByName(now.where("up IS NULL")))
     raise RuntimeError("the chains have a cycle")
+
+
+def commit_order(commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """``commits`` (``node``, ``when``) with ``position`` from 0: no commit after its parents, of equal standing the newest first (W-20).
+
+    ``edges`` lead from a parent (``src``) to its child (``dst``). Rows are numbered without gathering them in one task.
+    """
+    standing = layers(edges, commits.select("node"))
+    rows = commits.join(standing, "node").withColumn("__up", -F.col("layer")).withColumn("__late", -F.unix_micros(F.col("when").cast("timestamp")))
+    numbered = blocks(cut(rows), ["__up", "__late", "node"])
+    return numbered.select("node", "when", F.col("row").alias("position"))

@@ -35,3 +35,15 @@ def merge_near(values: Column, tolerance: float) -> Column:
     empty = F.array().cast("array<double>")
     step = lambda kept, v: F.when((F.size(kept) == 0) | (v - F.try_element_at(kept, F.lit(-1)) > tolerance), F.concat(kept, F.array(v))).otherwise(kept)
     return F.aggregate(values, empty, step)
+
+
+def covered(points: DataFrame, boxes: DataFrame, by: str, x: str, y: str, x0: str, x1: str, y0: str, y1: str, cell: float) -> DataFrame:
+    """Points inside the rectangles of the same ``by``, edges included (J-15): an equi-join on the cells of a grid, then the exact test.
+
+    A rectangle is listed in each cell that it touches, a point in one, so a pair meets once.
+    """
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    listed = boxes.where((F.col(x0) <= F.col(x1)) & (F.col(y0) <= F.col(y1))).withColumn("__i", F.explode(cells(x0, x1))).withColumn("__j", F.explode(cells(y0, y1)))
+    placed = points.withColumn("__i", F.floor(F.col(x) / cell)).withColumn("__j", F.floor(F.col(y) / cell))
+    near = placed.join(listed, [by, "__i", "__j"])
+    return near.where((F.col(x) >= F.col(x0)) & (F.col(x) <= F.col(x1)) & (F.col(y) >= F.col(y0)) & (F.col(y) <= F.col(y1))).drop("__i", "__j")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeloom.functions import numbers as nm, text as tx
-from lakeloom.operators import pagelayout as pl, timeline
+from lakeloom.operators import graph, pagelayout as pl, ranges, timeline, trees
+from lakeloom.operators.rounds import shared_folder
 from lakeloom.plans.registry import query
+from lakeloom.sources import binary
 from lakeloom.sources.tables import table
 
 
@@ -158,3 +162,60 @@ def decode_cost(spark, d):
     k = F.col("c_custkey")
     cost = nm.read_cost(k % 900 + 1, F.lit(32), F.when(k % 2 == 0, 8).otherwise(100), k % 7 + 1, F.lit(0.55))
     return table(spark, d, "customer").select("c_custkey", F.round(cost, 6).alias("cost"))
+
+
+@query("WITH r AS (SELECT c_nationkey AS network, c_custkey AS id, c_acctbal / 100 AS y, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal / 100, c_custkey) AS i FROM customer) SELECT network, id, round(13.0 * i + max(y - 13.0 * i) OVER (PARTITION BY network ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS y FROM r")
+def settled_nodes(spark, d):
+    """Boxes of one column pushed down until none overlaps."""
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("network"), F.col("c_custkey").alias("id"), F.lit(0.0).alias("x"), (F.col("c_acctbal") / 100).alias("y"), F.lit(5.0).alias("height"))
+    return pl.settled(rows, "network", 100.0, 8.0, 8.0).select("network", "id", F.round("y", 6).alias("y"))
+
+
+@query("WITH b AS (SELECT s_suppkey, s_nationkey, s_acctbal - 900 AS x0, s_acctbal + 900 AS x1, (s_suppkey % 50) * 2.0 - 20 AS y0, (s_suppkey % 50) * 2.0 + 20 AS y1 FROM supplier) SELECT c_custkey, s_suppkey FROM customer JOIN b ON c_nationkey = s_nationkey AND c_acctbal BETWEEN x0 AND x1 AND c_custkey % 100 BETWEEN y0 AND y1")
+def cover(spark, d):
+    """Notes that cover nodes."""
+    middle = (F.col("s_suppkey") % 50) * 2.0
+    boxes = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") - 900).alias("x0"), (F.col("s_acctbal") + 900).alias("x1"), (middle - 20).alias("y0"), (middle + 20).alias("y1"))
+    points = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
+    return ranges.covered(points, boxes, "nation", "x", "y", "x0", "x1", "y0", "y1", 500.0).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 'ring' WHEN contains(lower(p_name || p_type), 'small') THEN 'small' WHEN contains(lower(p_type), 'eco') THEN 'cheap' ELSE 'other' END AS role FROM part")
+def name_roles(spark, d):
+    ordered = [("ring", "ring"), ("small", "small"), ("eco", "cheap")]
+    name = F.concat("p_name", F.lit(" "), "p_type")
+    return table(spark, d, "part").select("p_partkey", tx.role(name, ordered).alias("role"))
+
+
+@query("SELECT event_id, ['k: ' || CASE WHEN length(long) > 120 THEN left(long, 119) || '…' ELSE long END, 'n: ' || user_id] AS fields FROM (SELECT *, repeat(event_type || ' ', (event_id % 30)::INT + 1) AS long FROM events)")
+def shown_fields(spark, d):
+    """Scalars of an object with a long text that has breaks, a number, a list and an object."""
+    long = F.repeat(F.concat("event_type", F.lit("\\n")), (F.col("event_id") % 30 + 1).cast("int"))
+    document = F.concat(F.lit('{"k": "'), long, F.lit('", "skip": [1], "n": '), F.col("user_id").cast("string"), F.lit(', "o": {"a": 1}, "z": null}'))
+    return table(spark, d, "events").select("event_id", tx.fields(document).alias("fields"))
+
+
+@query("WITH m AS (SELECT DISTINCT source || '/' || lang AS p FROM documents WHERE lang = 'en' UNION SELECT source FROM documents WHERE source LIKE '%1%'), t AS (SELECT p FROM m WHERE NOT EXISTS (SELECT 1 FROM m n WHERE starts_with(m.p, n.p || '/'))) SELECT p AS marked, sum(n_chars)::BIGINT AS size, count(*) AS files FROM t JOIN documents ON starts_with(source || '/' || lang || '/' || doc_id, p || '/') GROUP BY p")
+def marked_sizes(spark, d):
+    """What the marked folders hold, a folder below a marked one not counted again."""
+    docs = table(spark, d, "documents")
+    entries = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"))
+    marks = docs.where("lang = 'en'").select(F.concat_ws("/", "source", "lang").alias("path")).unionByName(docs.where("source LIKE '%1%'").select(F.col("source").alias("path"))).distinct()
+    return trees.marked_totals(entries, marks)
+
+
+@query("SELECT event_id AS node, row_number() OVER (ORDER BY -CASE WHEN event_id > 0 THEN floor(log2(event_id))::INT ELSE 0 END, ts DESC, event_id) - 1 AS position FROM events")
+def commit_positions(spark, d):
+    """Children before parents, the newest first among those of equal standing."""
+    e = table(spark, d, "events")
+    edges = e.where("event_id > 1").select(F.floor(F.col("event_id") / 2).alias("src"), F.col("event_id").alias("dst"))
+    return graph.commit_order(e.select(F.col("event_id").alias("node"), F.col("ts").alias("when")), edges).select("node", "position")
+
+
+@query("SELECT DISTINCT 'k=' || n_regionkey AS folder, true AS filled, true AS stopped FROM nation WHERE n_regionkey < 3")
+def folder_listing(spark, d):
+    """The first three of a folder's files; one with a dotted name is not seen."""
+    folder = f"{shared_folder(spark)}/lakeloom-listing/{uuid.uuid4().hex}"
+    table(spark, d, "nation").withColumn("k", F.col("n_regionkey")).repartition(1).write.partitionBy("k").json(folder)
+    found = binary.listing(spark, folder, "*.json", limit=3)
+    return found.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), (F.col("length") > 0).alias("filled"), "stopped")

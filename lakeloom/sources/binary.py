@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
@@ -39,3 +39,19 @@ def rows_of(df: DataFrame, reader: Callable[[bytes], Iterable[tuple]], schema: s
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, full)
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*", hidden: bool = False, limit: int | None = None) -> DataFrame:
+    """``path`` below a folder, ``length`` and ``modified`` of its files, and ``stopped``: whether a limit left some out (S-01, O-11).
+
+    Contents are not read. Names that start with a dot, and what lies below them, are left out unless asked for.
+    """
+    found = files(spark, folder, pattern).drop("content")
+    base = folder.rstrip("/").split("/")[-1]
+    found = found.withColumn("path", F.regexp_extract("path", f"/{base}/(.*)$", 1))
+    found = found if hidden else found.where(~F.col("path").rlike(r"(^|/)\.[^/.]"))
+    if limit is None:
+        return found.withColumn("stopped", F.lit(False))
+    first = found.orderBy("path").limit(limit + 1)
+    rows = first.withColumn("n", F.row_number().over(Window.orderBy("path")))  # limit + 1 rows at most
+    return rows.withColumn("stopped", F.count(F.lit(1)).over(Window.partitionBy()) > limit).where(F.col("n") <= limit).drop("n")
