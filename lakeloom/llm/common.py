@@ -98,6 +98,18 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+#: Rows of an Arrow batch of texts; Spark's own 10,000 would be gigabytes where texts are long.
+BATCH_ROWS = 512
+
+
+def texts_in_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, with the session's Arrow batches cut to BATCH_ROWS rows where they would be larger."""
+    spark, key = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return rows
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut to so many rows, so that a worker holds few texts as Python strings; memory of a batch is given back after it."""
     for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import slices, stored
+from lakeloom.llm.common import slices, stored, texts_in_batches
 
 #: Labelled rows that training gathers, dealt evenly among the languages, and those that each language may give at least.
 SAMPLE, LEAST = 3000, 50
@@ -178,7 +178,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             cols = [b.column(0), b.column(1), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "lang", "buckets", "counts"])
 
-    return picked.select("h", "lang", "text").mapInArrow(run, "h bigint, lang string, buckets array<int>, counts array<int>").where("size(buckets) > 0")
+    return texts_in_batches(picked.select("h", "lang", "text")).mapInArrow(run, "h bigint, lang string, buckets array<int>, counts array<int>").where("size(buckets) > 0")
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Model:
@@ -218,4 +218,4 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), *carried, F.col(text_col).alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return texts_in_batches(rows).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")

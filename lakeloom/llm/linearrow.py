@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import slices, stored
+from lakeloom.llm.common import slices, stored, texts_in_batches
 from lakeloom.llm.linededup import BANDS, BLANK, BLOCK, ROWS, SEED, SKETCH, Steps, members_by_band
 
 #: Characters whose shingles are hashed at once, characters of texts gathered at once, and rows of pairs held at once.
@@ -110,7 +110,7 @@ def read(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    table, _ = stored(rows.mapInArrow(run, f"doc {kind}, of bigint, pos int, lid bigint, other bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS))), "lines")
+    table, _ = stored(texts_in_batches(rows).mapInArrow(run, f"doc {kind}, of bigint, pos int, lid bigint, other bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS))), "lines")
     sig = table.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *[F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS)])
     return sig.where("lo = hi").drop("lo", "hi"), table.select("doc", "of", "pos", "lid")
 
@@ -139,7 +139,7 @@ def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
                 keep = np.flatnonzero(bits[at_word] >> (lid & 63).astype(np.uint64) & np.uint64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(lid[keep]), pa.array([lines[i] for i in keep.tolist()], pa.string())], names=["lid", "line"])
 
-    lines = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(run, "lid bigint, line string")
+    lines = texts_in_batches(docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")).mapInArrow(run, "lid bigint, line string")
     return lines.join(ids, "lid", "left_semi").dropDuplicates(["lid"])
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import slices, spanning_stars, stored
+from lakeloom.llm.common import slices, spanning_stars, stored, texts_in_batches
 from lakeloom.llm.components import components
 
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInArrow(run, f"{schema}, fp bigint")
+    return texts_in_batches(rows).mapInArrow(run, f"{schema}, fp bigint")
 
 
 def position_sets(least: int) -> list[tuple[int, ...]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.bpewords import WORD_END, byte_alphabet, special_splitter
-from lakeloom.llm.common import slices
+from lakeloom.llm.common import slices, texts_in_batches
 
 #: Pre-tokens and pairs of tokens that a worker remembers before it starts over.
 WORDS, PAIRS = 400_000, 1_000_000
@@ -250,7 +250,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, within bigint")
+    return texts_in_batches(rows).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, within bigint")
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,4 +263,4 @@ def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tables, pa.list_(pa.int32()))], names=["id", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, counts array<int>")
+    return texts_in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, counts array<int>")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import rans
 from lakeloom.llm.bpewords import BYTE_LEVEL, special_splitter
-from lakeloom.llm.common import input_bytes, slices, stored
+from lakeloom.llm.common import input_bytes, slices, stored, texts_in_batches
 
 #: Ids of a file; input bytes of a partition; pre-tokens that a worker remembers before it starts over.
 FILE_IDS = 1 << 21
@@ -122,7 +122,7 @@ def write_corpus(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange(partitions_for(rows), "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
-    return stored(rows.mapInArrow(run, "part int, seq int, n_ids bigint, data binary"), "token-files")[0]
+    return stored(texts_in_batches(rows).mapInArrow(run, "part int, seq int, n_ids bigint, data binary"), "token-files")[0]
 
 
 def read_corpus(files: DataFrame, id_type: str = "bigint") -> DataFrame:
