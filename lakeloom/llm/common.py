@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,11 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakeloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/lakeloom/{app}"
+    path = f"{root}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if app not in _swept:
+        _swept.add(app)
+        system, at = _file_system(spark, root)
+        system.deleteOnExit(at)  # what no operator forgot goes with the application
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 #: Input of fewer bytes is dealt anew before work row by row: one row group is one task, however many cores there are.
 SMALL_INPUT = 64 << 20
 
@@ -60,9 +73,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`stored` wrote and that no later read needs."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
 
 
 #: A key that holds over this share of all rows is hot.

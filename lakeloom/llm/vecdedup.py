@@ -25,7 +25,7 @@ from lakeloom.llm.common import forget, spanning_stars, stored
 from lakeloom.llm.components import components
 
 #: Vectors that the centroids are fitted on, the numbers of centroids to choose from, and members of a task.
-SAMPLE, LEVELS, PER_CLUSTER, BLOCK = 32_768, (1, 8, 64, 512, 4096), 1200, 1536
+SAMPLE, LEVELS, PER_CLUSTER, BLOCK = 32_768, (1, 8, 64, 512, 4096), 600, 768
 #: Vector lengths with centroids of their own, the most frequent ones; vectors of other lengths are dealt as pairs of blocks.
 WIDTHS = 64
 #: Degree, candidates, pruning factor, width of the search, members of a shard, seeds.
