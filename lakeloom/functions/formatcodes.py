@@ -22,7 +22,7 @@ MOST_DECIMALS = 30
 TOKEN = re.compile(r'"([^"]*)"|\\(.)|_(.)|\*(.)|\[\$([^\]-]*)(?:-[^\]]*)?\]|\[(h+|m+|s+)\]|\[[^\]]*\]|([0#?][0#?,]*(?:\.[0#?]*)?|\.[0#?]+)(E[+-]0+)?|(/ *(?:\d+|[0#?]+))|(%)|(AM/PM|A/P)|([ymdhs]+)|(.)', re.I | re.S)
 
 
-class Section(NamedTuple):
+class Part(NamedTuple):
     """One part of a format code."""
 
     parts: list[tuple[str, str]]  # kind and text: literal, number, exponent, fraction, percent, date, elapsed
@@ -37,7 +37,7 @@ def sections(code: str) -> list[str]:
     return re.findall(r'((?:"[^"]*"|\\.|[^;"\\])*)(?:;|$)', code)[: len(re.findall(r';(?=(?:[^"]*"[^"]*")*[^"]*$)', code)) + 1]
 
 
-def parsed(code: str) -> Section:
+def parsed(code: str) -> Part:
     parts: list[tuple[str, str]] = []
     for m in TOKEN.finditer(code):
         quoted, escaped, blank, fill, money, elapsed, number, exponent, under, percent, half, date, other = m.groups()
@@ -59,10 +59,10 @@ def parsed(code: str) -> Section:
         else:
             parts.append(("literal", next((x for x in (quoted, escaped, money, other) if x is not None), "")))
     kinds = {k for k, _ in parts}
-    return Section(parts, not kinds & {"number", "fraction", "date", "elapsed"})
+    return Part(parts, not kinds & {"number", "fraction", "date", "elapsed"})
 
 
-def general(value: Column, comma: bool = False) -> Column:
+def bare_number(value: Column, comma: bool = False) -> Column:
     """At most fifteen significant digits, whole numbers below 1e15 bare."""
     size = F.abs(value)
     places = F.lit(14) - F.floor(F.log10(F.when(size > 0, size).otherwise(1.0))).cast("int")
@@ -76,7 +76,7 @@ def general(value: Column, comma: bool = False) -> Column:
     return F.replace(text, F.lit("."), F.lit(",")) if comma else text
 
 
-def number(value: Column, decimals: int, least: int = 0, grouped: bool = False, comma: bool = False, whole_digits: int = 1) -> Column:
+def decimal_text(value: Column, decimals: int, least: int = 0, grouped: bool = False, comma: bool = False, whole_digits: int = 1) -> Column:
     """A number with ``least`` to ``decimals`` decimals, half away from zero, groups of three digits apart if asked for."""
     decimals = min(decimals, MOST_DECIMALS)
     rounded = F.round(F.abs(value).cast("string").cast("decimal(38,15)"), min(decimals, 15))
@@ -109,7 +109,7 @@ def fraction(value: Column, bounded: str) -> Column:
     return F.concat(F.when((value < 0) & (shown != "0"), "-").otherwise(""), shown)
 
 
-def _dated(value: Column, section: Section, date1904: bool) -> Column:
+def _dated(value: Column, section: Part, date1904: bool) -> Column:
     """A date as year-month-day and a time as h:mm(:ss), whatever their order in the code; hours above a day where in brackets."""
     said = "".join(section.of("date"))
     seconds = F.round(value * 86400).cast("long")
@@ -130,7 +130,7 @@ def _dated(value: Column, section: Section, date1904: bool) -> Column:
     return F.date_format(at, shown)
 
 
-def shown_by(section: Section, value: Column, comma: bool, date1904: bool) -> Column:
+def shown_by(section: Part, value: Column, comma: bool, date1904: bool) -> Column:
     """A value by one section, its sign included."""
     literal = lambda: F.lit("".join(section.of("literal")))
     if section.bare:
@@ -167,7 +167,7 @@ def shown_by(section: Section, value: Column, comma: bool, date1904: bool) -> Co
                 mantissa = F.substring_index(text_e, "e", 1)
                 out.append(F.concat(F.replace(mantissa, F.lit("."), F.lit("," if comma else ".")), F.lit("E"), sign, F.lpad(F.abs(power).cast("string"), max(1, exponent.count("0")), "0")))
             else:
-                out.append(number(scaled, decimals, least, "," in whole.rstrip(","), comma, digits))
+                out.append(decimal_text(scaled, decimals, least, "," in whole.rstrip(","), comma, digits))
     signed = F.concat(*out)
     # The sign of a number stands before what precedes it.
     return F.when(signed.rlike("^[^0-9]+-[0-9]"), F.concat(F.lit("-"), F.regexp_replace(signed, "^([^0-9]*?)-(?=[0-9])", "$1"))).otherwise(signed) if section.parts and section.parts[0][0] == "literal" else signed
@@ -178,7 +178,7 @@ def formatted(value: Column, code: str, language: str = "en", date1904: bool = F
     comma = language.split("-")[0].lower() in COMMA_LANGUAGES
     value = value.cast("double")
     if code.strip().lower() in ("general", "@", ""):
-        return general(value, comma)
+        return bare_number(value, comma)
     parts = [parsed(s) for s in sections(code)]
     by = [shown_by(p, value if k != 1 else F.abs(value), comma, date1904) for k, p in enumerate(parts[:3])]
     if len(by) == 1:

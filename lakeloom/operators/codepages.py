@@ -39,7 +39,7 @@ def reading(raw: bytes, codec: str) -> str | None:
         return None
 
 
-def repaired(raw: bytes, at_hand: str, wanted: str | None = None) -> str:
+def best_reading(raw: bytes, at_hand: str, wanted: str | None = None) -> str:
     """The weightiest reading of a name, or the one of a wanted code page where that is possible."""
     if wanted:
         return reading(raw, wanted) or at_hand
@@ -49,7 +49,7 @@ def repaired(raw: bytes, at_hand: str, wanted: str | None = None) -> str:
 
 def member_name(name: str, is_utf8: bool, wanted: str | None = None) -> str:
     """A ZIP member's name: believed where its flag says UTF-8 or it is ASCII, else read anew from its bytes."""
-    return name if is_utf8 or name.isascii() else repaired(name.encode("cp437"), name, wanted)
+    return name if is_utf8 or name.isascii() else best_reading(name.encode("cp437"), name, wanted)
 
 
 def playlist_text(raw: bytes, utf8: bool = False) -> str:
@@ -71,9 +71,9 @@ def declared_text(raw: bytes) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def repaired_names(raw: pd.Series) -> pd.Series:
+def anew_read_names(raw: pd.Series) -> pd.Series:
     """Names whose bytes a format of old reads as code page 437."""
-    return raw.map(lambda x: None if x is None else repaired(bytes(x), bytes(x).decode("cp437")))
+    return raw.map(lambda x: None if x is None else best_reading(bytes(x), bytes(x).decode("cp437")))
 
 
 @F.pandas_udf(T.StringType())

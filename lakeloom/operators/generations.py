@@ -122,24 +122,24 @@ CHECKPOINTS = {"ckpt_name": "Checkpoint", "unet_name": "Diffusion model", "model
 DEEPEST = {"value": 6, "text": 16, "model": 24}
 
 
-class _Walk:
+class _Nodes:
     """A graph of nodes (class, inputs), each input a value or a link to another node."""
 
     def __init__(self, nodes: dict):
         self.nodes = {str(k): n for k, n in nodes.items() if isinstance(n, dict)}
 
-    def inputs(self, link) -> dict:
+    def wired(self, link) -> dict:
         node = self.nodes.get(str(link[0])) if isinstance(link, list) and link else None
         return node.get("inputs", {}) if node else {}
 
-    def value(self, raw, depth: int = 0):
+    def held(self, raw, depth: int = 0):
         """What an input comes to, over nodes that only hold a value."""
         while isinstance(raw, list) and depth <= DEEPEST["value"]:
-            inputs, depth = self.inputs(raw), depth + 1
+            inputs, depth = self.wired(raw), depth + 1
             raw = next((inputs[k] for k in HOLDS if k in inputs), next((v for v in inputs.values() if not isinstance(v, list)), None))
         return None if isinstance(raw, list) else raw
 
-    def texts(self, link) -> list[str]:
+    def prompts(self, link) -> list[str]:
         """Distinct texts that flow into a conditioning, in order of the way."""
         found, open_, seen = [], [(link, 0)], set()
         while open_:
@@ -147,22 +147,22 @@ class _Walk:
             if not isinstance(at, list) or not at or depth > DEEPEST["text"] or (here := str(at[0])) in seen or here not in self.nodes:
                 continue
             seen.add(here)
-            inputs, kind = self.inputs(at), str(self.nodes[here].get("class_type", ""))
+            inputs, kind = self.wired(at), str(self.nodes[here].get("class_type", ""))
             named = any(w in kind for w in ("TextEncode", "Prompt", "String", "Text"))
             for k in TEXTS:
-                if k in inputs and (named or k in ("text", "prompt")) and isinstance(t := self.value(inputs[k]), str) and t.strip() and t.strip() not in found:
+                if k in inputs and (named or k in ("text", "prompt")) and isinstance(t := self.held(inputs[k]), str) and t.strip() and t.strip() not in found:
                     found.append(t.strip())
             open_ = [(inputs[k], depth + 1) for k in CONDITIONING if isinstance(inputs.get(k), list)] + open_
         return found
 
-    def models(self, link) -> list[tuple[str, str]]:
+    def networks(self, link) -> list[tuple[str, str]]:
         """The networks on the way to the checkpoint, and the checkpoint."""
         out = []
         for _ in range(DEEPEST["model"]):
-            inputs = self.inputs(link)
+            inputs = self.wired(link)
             if "lora_name" in inputs:
-                out.append((f"LoRA {self.value(inputs['lora_name'])}", scalar(self.value(inputs.get("strength_model", inputs.get("strength", 1))))))
-            if held := [(label, scalar(inputs[k])) for k, label in CHECKPOINTS.items() if k in inputs and not isinstance(inputs[k], list)]:
+                out.append((f"LoRA {self.held(inputs['lora_name'])}", as_said(self.held(inputs.get("strength_model", inputs.get("strength", 1))))))
+            if held := [(label, as_said(inputs[k])) for k, label in CHECKPOINTS.items() if k in inputs and not isinstance(inputs[k], list)]:
                 return [*out, held[0]]
             link = next((inputs[k] for k in MODELS if isinstance(inputs.get(k), list)), None)
             if link is None:
@@ -170,7 +170,7 @@ class _Walk:
         return out
 
 
-def scalar(value) -> str:
+def as_said(value) -> str:
     """A value as text: yes and no, four decimals at most, JSON where nested."""
     if value is None:
         return ""
@@ -187,20 +187,20 @@ def fields_of_graph(text: str) -> list[tuple[str, str]]:
         nodes = json.loads(text)
     except ValueError:
         return []
-    walk = _Walk(nodes if isinstance(nodes, dict) else {})
+    graph = _Nodes(nodes if isinstance(nodes, dict) else {})
     wanted = ("latent_image", "positive", "guider")
-    samplers = sorted((k for k, n in walk.nodes.items() if "Sampler" in str(n.get("class_type", "")) and any(w in n.get("inputs", {}) for w in wanted)), key=lambda k: (len(k), k))
+    samplers = sorted((k for k, n in graph.nodes.items() if "Sampler" in str(n.get("class_type", "")) and any(w in n.get("inputs", {}) for w in wanted)), key=lambda k: (len(k), k))
     if not samplers:
         return []
-    inputs = walk.nodes[samplers[0]]["inputs"]
-    guider = walk.inputs(inputs.get("guider"))
+    inputs = graph.nodes[samplers[0]]["inputs"]
+    guider = graph.wired(inputs.get("guider"))
     inputs = {**{k: guider[k] for k in ("model", "cfg", "negative") if k in guider}, **inputs, **({"positive": guider.get("positive", guider.get("conditioning"))} if guider else {})}
-    aside = {**walk.inputs(inputs.get("sigmas")), **{k: v for k, v in walk.inputs(inputs.get("noise")).items() if k == "noise_seed"}, **{k: v for k, v in walk.inputs(inputs.get("sampler")).items() if k == "sampler_name"}}
-    at = lambda *names: next((scalar(walk.value(v)) for n in names for v in (inputs.get(n), aside.get(n)) if v is not None), "")
-    out = [("Prompt", "\n\n".join(walk.texts(inputs.get("positive")))), ("Negative", "\n\n".join(walk.texts(inputs.get("negative"))))]
+    aside = {**graph.wired(inputs.get("sigmas")), **{k: v for k, v in graph.wired(inputs.get("noise")).items() if k == "noise_seed"}, **{k: v for k, v in graph.wired(inputs.get("sampler")).items() if k == "sampler_name"}}
+    at = lambda *names: next((as_said(graph.held(v)) for n in names for v in (inputs.get(n), aside.get(n)) if v is not None), "")
+    out = [("Prompt", "\n\n".join(graph.prompts(inputs.get("positive")))), ("Negative", "\n\n".join(graph.prompts(inputs.get("negative"))))]
     out += [("Seed", at("seed", "noise_seed")), ("Steps", at("steps")), ("Sampler", at("sampler_name")), ("Scheduler", at("scheduler")), ("CFG", at("cfg"))]
-    out += walk.models(inputs.get("model"))
-    out += [("Passes", ", ".join(samplers[1:])), ("Nodes", str(len(walk.nodes)))]
+    out += graph.networks(inputs.get("model"))
+    out += [("Passes", ", ".join(samplers[1:])), ("Nodes", str(len(graph.nodes)))]
     return [(label, value) for label, value in out if value]
 
 

@@ -20,12 +20,12 @@ SPACE, CELL, ALONE = 0.18, 2.2, 0.25
 NUMBER_LINE = r"(?i)^([-–—]\s*)?(page|стр\.?|страница|s\.|p\.)?\s*[0-9]{1,4}(\s*(/|of|из|iz)\s*[0-9]{1,4})?\s*([-–—])?$"
 
 
-def is_page_number(text: Column, share: Column) -> Column:
+def number_at_edge(text: Column, share: Column) -> Column:
     """A short line at the top or bottom tenth of a page that is only its number."""
     return (F.length(text) <= 24) & ((share < 0.10) | (share > 0.90)) & F.trim(text).rlike(NUMBER_LINE)
 
 
-def is_lone_number(text: Column) -> Column:
+def number_alone(text: Column) -> Column:
     """A paragraph that is only a page's number."""
     return (F.length(text) <= 12) & F.trim(text).rlike(NUMBER_LINE)
 
@@ -62,7 +62,7 @@ def cells(runs: DataFrame, line: str, x0: str, x1: str, size: str) -> DataFrame:
     return step.withColumn("cell", F.sum("__s").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__s")
 
 
-def reads_as_columns(lines: DataFrame, page: str, at: str, left: str, right: str) -> DataFrame:
+def in_columns(lines: DataFrame, page: str, at: str, left: str, right: str) -> DataFrame:
     """``page`` and ``columns``: whether lines stand alone on both sides of a gutter, often enough, and twice running on one."""
     side = F.when(F.col(left) & ~F.col(right), "left").when(F.col(right) & ~F.col(left), "right")
     order = Window.partitionBy(page).orderBy(at)
@@ -162,12 +162,8 @@ def settled(nodes: DataFrame, by: str, width: float, margin: float, gap: float)
         ys = []
         for x, y, h in zip(rows["x"], rows["y"], rows["height"], strict=True):
             beside = sorted((top, bottom) for left, top, bottom in done if abs(left - x) < width + margin)
-            moved = True
-            while moved:
-                moved = False
-                for top, bottom in beside:
-                    if y < bottom + margin and top < y + h + margin:
-                        y, moved = bottom + gap, True
+            while (under := next((bottom for top, bottom in beside if y < bottom + margin and top < y + h + margin), None)) is not None:
+                y = under + gap
             done.append((x, y, y + h))
             ys.append(y)
         return rows.assign(y=ys)

@@ -67,7 +67,7 @@ def sqlite_page(spark, d):
 @query("SELECT DISTINCT n_regionkey || '.db' AS path, 4096 AS page_size, 'UTF-8' AS encoding, false AS wal, n_regionkey - 2 AS user_version, n_regionkey + 7 AS application_id, true AS sized FROM nation")
 def sqlite_header(spark, d):
     files = _databases(spark, d)
-    facts = files.select("path", F.octet_length("content").alias("size"), databases.header_facts(F.col("content")).alias("f"))
+    facts = files.select("path", F.octet_length("content").alias("size"), databases.facts_of_header(F.col("content")).alias("f"))
     return facts.select("path", "f.page_size", "f.encoding", "f.wal", "f.user_version", "f.application_id", (F.col("f.page_size") * F.col("f.pages") == F.col("size")).alias("sized"))
 
 
@@ -125,7 +125,7 @@ def code_pages(spark, d):
     markup = F.concat(F.lit('<?xml encoding="windows-1251"?><a>Отчёт'), key, F.lit("</a>"))
     of_list = F.when(F.col("n_nationkey") % 2 == 0, "cp1251").otherwise("utf-8")
     return n.select(
-        "n_nationkey", codepages.repaired_names(codepages.encoded(name, page)).alias("name"), codepages.declared_texts(codepages.encoded(markup, F.lit("cp1251"))).alias("declared"),
+        "n_nationkey", codepages.anew_read_names(codepages.encoded(name, page)).alias("name"), codepages.declared_texts(codepages.encoded(markup, F.lit("cp1251"))).alias("declared"),
         codepages.playlist_texts(codepages.encoded(F.concat(F.lit("ё"), key, F.lit(".mp3")), of_list)).alias("track"),
     )
 

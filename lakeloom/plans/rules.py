@@ -36,7 +36,7 @@ def page_numbers(spark, d):
     k = F.col("o_orderkey")
     n = (k % 10000).cast("string")
     line = F.when(k % 3 == 0, F.when(k % 2 == 0, F.concat(F.lit("- "), n, F.lit(" -"))).otherwise(F.concat(F.lit("p. "), n, F.lit("/99")))).when(k % 3 == 1, F.concat(n, F.lit(" pages"))).otherwise(F.concat(F.lit("chapter "), n))
-    return table(spark, d, "orders").select("o_orderkey", pl.is_page_number(line, (k % 100) / 100).alias("at_edge"), pl.is_lone_number(line).alias("lone"))
+    return table(spark, d, "orders").select("o_orderkey", pl.number_at_edge(line, (k % 100) / 100).alias("at_edge"), pl.number_alone(line).alias("lone"))
 
 
 @query("WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS most FROM lineitem), n AS (SELECT *, count(*) FILTER (l_quantity < 0.95 * most) OVER (PARTITION BY l_orderkey) AS inside FROM w) SELECT l_orderkey, l_linenumber, l_quantity FROM n WHERE inside < 2 OR l_quantity < 0.95 * most")
@@ -73,7 +73,7 @@ def column_pages(spark, d):
     left, right = k % 5 < 2, (k % 7 == 0) & (k % 5 >= 2)
     both = ~left & ~right
     lines = table(spark, d, "events").select(F.col("user_id").alias("page"), k.alias("at"), (left | both).alias("l"), (right | both).alias("r"))
-    return pl.reads_as_columns(lines, "page", "at", "l", "r")
+    return pl.in_columns(lines, "page", "at", "l", "r")
 
 
 @query("""WITH p AS (SELECT o_custkey AS element, o_orderkey AS place, (o_orderkey % 40)::DOUBLE AS y, CASE WHEN o_orderkey % 9 = 0 THEN 20.0 ELSE 10.0 END AS size, CASE WHEN o_orderkey % 9 = 0 THEN 'A' ELSE 'w' || o_orderkey END AS text FROM orders),

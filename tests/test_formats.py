@@ -37,7 +37,7 @@ def test_databases(spark, tmp_path):
     data = (tmp_path / "wal.db").read_bytes()
     assert databases.objects(data) == [('a"b', "table", 0)]
     assert databases.page_reader('a"b', 5)(data) == [(0, 0, "real", "1.5"), (0, 1, "null", None), (1, 0, "text", "t"), (1, 1, "blob", "binary · 1 B")]
-    facts = spark.createDataFrame([(bytearray(data),), (bytearray(b"short"),)], "d binary").select(databases.header_facts(F.col("d")).alias("f")).collect()
+    facts = spark.createDataFrame([(bytearray(data),), (bytearray(b"short"),)], "d binary").select(databases.facts_of_header(F.col("d")).alias("f")).collect()
     assert facts[0]["f"]["wal"] is True and facts[0]["f"]["page_size"] * facts[0]["f"]["pages"] == len(data) and facts[1]["f"] is None
 
 
@@ -58,11 +58,11 @@ def test_code_pages():
     name = "Отчёт за август.txt"
     for page in ("cp866", "cp1251", "utf-8"):
         raw = name.encode(page)
-        assert codepages.repaired(raw, raw.decode("cp437")) == name
+        assert codepages.best_reading(raw, raw.decode("cp437")) == name
         assert codepages.member_name(raw.decode("cp437"), False) == name
     raw = "Отчёт.txt".encode("cp866")
-    assert codepages.repaired(raw, raw.decode("cp437"), "cp1251") == raw.decode("cp1251")
-    assert codepages.repaired(b"\xff\xfe", "as it is", "utf-8") == "as it is"
+    assert codepages.best_reading(raw, raw.decode("cp437"), "cp1251") == raw.decode("cp1251")
+    assert codepages.best_reading(b"\xff\xfe", "as it is", "utf-8") == "as it is"
     assert codepages.member_name("notes.txt", False) == "notes.txt" and codepages.member_name("Отчёт", True) == "Отчёт"
     assert codepages.declared_text('<meta charset="koi8-r">ё'.encode("koi8-r")).endswith("ё")
     assert codepages.declared_text("\ufeffё".encode("utf-16")).endswith("ё") and codepages.declared_text("ё".encode("cp1251")) == "ё" and codepages.declared_text(b"charset=nobody x") == "charset=nobody x"

@@ -121,7 +121,7 @@ def test_merge_near(spark):
 def test_generations(spark):
     from lakeloom.operators import generations as g
 
-    assert [g.scalar(v) for v in (None, True, 1.5, 2.0, {"a": 1}, " x ")] == ["", "yes", "1.5", "2", '{"a": 1}', "x"]
+    assert [g.as_said(v) for v in (None, True, 1.5, 2.0, {"a": 1}, " x ")] == ["", "yes", "1.5", "2", '{"a": 1}', "x"]
     loop = '{"1": {"class_type": "KSampler", "inputs": {"positive": ["2", 0]}}, "2": {"class_type": "TextEncode", "inputs": {"text": ["2", 0], "conditioning": ["2", 0]}}}'
     assert g.fields_of_graph(loop) == [("Nodes", "2")] and g.fields_of_graph("{") == [] and g.fields_of_graph("{}") == []
     rows = [

@@ -1,4 +1,4 @@
-"""Every engine query runs, and equals its DuckDB twin where it has one."""
+"""Every engine query equals its DuckDB twin."""
 
 from __future__ import annotations
 
@@ -16,10 +16,7 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, sf, con, name):
     df = catalogue.QUERIES[name](spark, sf)
-    if name in catalogue.ORACLES:
-        assert oracle.differences(df, con, catalogue.ORACLES[name]) == ""
-    else:
-        assert df.count() >= 0
+    assert oracle.differences(df, con, catalogue.ORACLES[name]) == ""
 
 
 def test_entry(spark):
