@@ -119,7 +119,7 @@ def read(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame
 FILTER_BITS = 26
 
 
-def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, text_col: str, ids: DataFrame, hot: DataFrame) -> DataFrame:
     """As :func:`linededup.texts_of`; a filter of fixed size keeps most other lines, and repeats within a batch, out of the shuffle."""
     slot = F.col("lid").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(lid & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()

@@ -70,10 +70,10 @@ def read(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame
     return signatures(docs, text_col, k), places.select("doc", "of", "pos", line_id(F.col("line")).alias("lid"))
 
 
-def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
-    """``lid`` and ``line`` of the lines whose ids are asked for."""
-    lines = lines_of(docs, text_col).select(line_id(F.col("line")).alias("lid"), "line")
-    return lines.join(ids, "lid", "left_semi").dropDuplicates(["lid"])
+def texts_of(docs: DataFrame, text_col: str, ids: DataFrame, hot: DataFrame) -> DataFrame:
+    """``lid`` and ``line`` of the lines whose ids are asked for; the copies of a hot line meet in many tasks, which give one each."""
+    lines = lines_of(docs, text_col, F.xxhash64(text_col).alias("of")).select("of", "pos", line_id(F.col("line")).alias("lid"), "line")
+    return join_split(lines, ids, "lid", hot, F.xxhash64("of", "pos")).select("lid", "line").dropDuplicates(["lid"])
 
 
 def signatures(docs: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -202,11 +202,11 @@ def hooked(links: DataFrame) -> DataFrame:
     return low.join(low.select(F.col("node").alias("low"), F.col("low").alias("root")), "low").select("node", "root")
 
 
-def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarity: float, steps: Steps) -> DataFrame:
+def line_roots(docs: DataFrame, sig: DataFrame, text_col: str, k: int, similarity: float, steps: Steps, hot: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every line that is linked."""
     spark = docs.sparkSession
     members, members_path = stored(banded(sig), "line-members")
-    texts, texts_path = stored(steps.texts_of(docs, text_col, members.select("lid").distinct()), "line-texts")
+    texts, texts_path = stored(steps.texts_of(docs, text_col, members.select("lid").distinct(), hot), "line-texts")
     sketches, sketches_path = stored(steps.sketched(texts, k), "line-sketches")
     pairs, pairs_path = stored(near_by_sketch(first_pairs(members), sketches, similarity), "line-pairs")
     links, links_path = stored(steps.decided(pairs, texts, sketches, k, similarity), "line-links")
@@ -233,11 +233,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     found, places = steps.read(docs, id_col, text_col, k)
     sig, sig_path = stored(found, "line-bands")
-    roots = line_roots(docs, sig, text_col, k, similarity, steps)
+    hot = hot_keys(sig, "lid")
+    roots = line_roots(docs, sig, text_col, k, similarity, steps, hot)
     of_line = sig.select("lid", "n").join(roots, F.col("lid") == F.col("node"), "left").where("n > 1 OR root IS NOT NULL")
-    of_line, _ = stored(of_line.select("lid", "n", F.coalesce("root", "lid").alias("cls")), "line-classes")
+    of_line, _ = stored(of_line.select("lid", F.coalesce("root", "lid").alias("cls")), "line-classes")
+    at, _ = stored(join_split(places, of_line.select("lid", "cls"), "lid", hot, F.xxhash64("doc", "of", "pos")).drop("lid"), "line-places")
     forget(spark, sig_path)
-    at, _ = stored(join_split(places, of_line.select("lid", "cls"), "lid", hot_keys(of_line, "lid"), F.xxhash64("doc", "of", "pos")).drop("lid"), "line-places")
     first = at.groupBy("cls").agg(F.min(F.struct("doc", "of", "pos")).alias("first"))
     kept = first.select(F.col("first.doc").alias("kdoc"), F.col("first.of").alias("kof"), F.col("first.pos").alias("kpos"))
     same = F.col("doc").eqNullSafe(F.col("kdoc")) & (F.col("of") == F.col("kof")) & (F.col("pos") == F.col("kpos"))
