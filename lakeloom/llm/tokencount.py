@@ -30,7 +30,7 @@ from lakeloom.llm.bpewords import WORD_END, byte_alphabet, special_splitter
 from lakeloom.llm.common import slices, texts_in_batches
 
 #: Pre-tokens and pairs of tokens that a worker remembers before it starts over.
-WORDS, PAIRS = 400_000, 1_000_000
+WORDS, PAIRS = 800_000, 1_000_000
 #: Below this all letters are composed already and lower-case one by one.
 PLAIN = regex.compile("[^\x00-\u02ff]")
 
@@ -64,7 +64,7 @@ class PrefixCounter:
         self.word = regex.compile(WORD_END)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tokens = frozenset(t for t in self.tokens if self.merged(self.symbols(t)) == [t])
-        self.tables: dict[str, bytes | array] = {}
+        self.tables: dict[str, tuple[str, tuple[str, ...], bytes | array]] = {}
         self.totals = _Totals(self)
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -114,22 +114,22 @@ class PrefixCounter:
     def as_bytes(self, word: str) -> str:
         return word.encode("utf-8").decode("latin-1").translate(self.byte_of)
 
-    def word_prefixes(self, word: str) -> list[int]:
-        """Tokens of the first 1, 2, ... characters of a pre-token, each as a text of its own."""
-        s = self.as_bytes(word)
-        table = self.begun(s, len(s))
-        counts = [self.ended(s, j, *table) for j in accumulate(len(c.encode("utf-8")) for c in word)]
-        if len(word) == 3 and word[0] == "'" and word != "'''" and word[1].isalpha():
-            counts[1] = counts[0] + self.totals[word[1]]  # half a contraction is an apostrophe and a letter
-        return counts
-
-    def table(self, word: str) -> bytes | array:
-        """The stored counts at the prefixes of 1, 2, ... characters of a pre-token."""
+    def table(self, word: str) -> tuple[str, tuple[str, ...], bytes | array]:
+        """The stored table of a pre-token: its byte characters, and last token and count at each of its beginnings."""
         if (found := self.tables.get(word)) is None:
-            counts = self.word_prefixes(word)
-            found = self.tables[word] = bytes(counts) if max(counts) < 256 else array("I", counts)
+            s = self.as_bytes(word)
+            last, counts = self.begun(s, len(s) - 1)
+            found = self.tables[word] = s, tuple(last), bytes(counts) if counts[-1] < 256 else array("I", counts)
         return found
 
+    def word_prefixes(self, word: str) -> list[int]:
+        """Tokens of the first 1, 2, ... characters of a pre-token, each as a text of its own: one token after what its table has."""
+        s, last, counts = self.table(word)
+        out = [self.ended(s, j, last, counts) for j in accumulate(len(c.encode("utf-8")) for c in word)]
+        if len(word) == 3 and word[0] == "'" and word != "'''" and word[1].isalpha():
+            out[1] = out[0] + self.totals[word[1]]  # half a contraction is an apostrophe and a letter
+        return out
+
     def forget(self) -> None:
         """Starts over where the stored tables are many."""
         if len(self.totals) > WORDS:
@@ -179,7 +179,7 @@ class PrefixCounter:
             at = 0
             for m in self.word.finditer(part):
                 counts += [total] * (m.start() - at)
-                inside = self.table(m.group())
+                inside = self.word_prefixes(m.group())
                 counts += [total + c for c in inside]
                 total, at = total + inside[-1], m.end()
             counts += [total] * (len(part) - at)
@@ -205,7 +205,7 @@ class PrefixCounter:
                 if cut is None and total > budget:
                     for found in self.word.finditer(part):
                         if before + self.totals[found.group()] > budget:
-                            fit = [j + 1 for j, c in enumerate(self.table(found.group())) if before + c <= budget]
+                            fit = [j + 1 for j, c in enumerate(self.word_prefixes(found.group())) if before + c <= budget]
                             cut = chars + found.start() + (fit[-1] if fit else 0)
                             break
                         before += self.totals[found.group()]
@@ -222,7 +222,8 @@ class _Totals(dict):
         self.counter = counter
 
     def __missing__(self, word: str) -> int:
-        out = self[word] = self.counter.table(word)[-1]
+        s, last, counts = self.counter.table(word)
+        out = self[word] = self.counter.ended(s, len(s), last, counts)
         return out
 
 
