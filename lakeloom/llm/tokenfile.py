@@ -28,7 +28,7 @@ from lakeloom.llm.common import input_bytes, slices, stored, texts_in_batches
 #: Ids of a file; input bytes of a partition; pre-tokens that a worker remembers before it starts over.
 FILE_IDS = 1 << 21
 PARTITION_BYTES = 24 << 20
-WORDS = 300_000
+WORDS = 600_000
 #: The same split for texts of characters under U+0250, whose letters, digits and spaces are few ranges.
 LETTER, DIGIT, SPACE = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
