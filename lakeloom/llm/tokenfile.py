@@ -8,6 +8,7 @@ is the store that executors can reach on any file system, and each file in it de
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -43,6 +44,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own cost twice the CPU time
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
