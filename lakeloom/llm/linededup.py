@@ -15,7 +15,7 @@ Lines are compared without white space at their ends. A line of fewer characters
 its own only shingle. Should two different lines share an id (a second hash tells), neither links
 with anything: a collision keeps lines and never removes one.
 
-In SQL functions the whole takes about 1060 CPU seconds a GB by the check tool, of which the minima over exploded shingles alone
+In SQL functions the whole takes about 900 CPU seconds a GB by the check tool, of which the minima over exploded shingles alone
 take 250. :mod:`linearrow` has the four dear steps in Arrow batches; a caller chooses by ``steps``.
 """
 
