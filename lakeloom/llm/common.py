@@ -77,6 +77,11 @@ def forget(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage: the plans and compiled classes of the hundreds of jobs that an iterative operator leaves."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 #: A key that holds over this share of all rows is hot.
 SHARES = 1024
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import forget, stored
+from lakeloom.llm.common import forget, stored, tidy
 
 
 def _are_stars(links: DataFrame) -> bool:
@@ -48,4 +48,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         now, path = after, after_path
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    tidy(spark)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

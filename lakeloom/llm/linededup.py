@@ -28,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import forget, hot_keys, join_split, let, stored
+from lakeloom.llm.common import forget, hot_keys, join_split, let, stored, tidy
 from lakeloom.llm.components import components
 
 SHINGLE, SIMILARITY = 9, 0.8
@@ -239,6 +239,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_line, _ = stored(of_line.select("lid", F.coalesce("root", "lid").alias("cls")), "line-classes")
     at, _ = stored(join_split(places, of_line.select("lid", "cls"), "lid", hot, F.xxhash64("doc", "of", "pos")).drop("lid"), "line-places")
     forget(spark, sig_path)
+    tidy(spark)
     first = at.groupBy("cls").agg(F.min(F.struct("doc", "of", "pos")).alias("first"))
     kept = first.select(F.col("first.doc").alias("kdoc"), F.col("first.of").alias("kof"), F.col("first.pos").alias("kpos"))
     same = F.col("doc").eqNullSafe(F.col("kdoc")) & (F.col("of") == F.col("kof")) & (F.col("pos") == F.col("kpos"))
