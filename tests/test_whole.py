@@ -35,3 +35,11 @@ def test_deep_and_cyclic_graphs(spark):
         graph.layers(loop, loop.select(F.col("src").alias("node")), most=9)
     with pytest.raises(RuntimeError, match="cycle"):
         graph.chain_sums(loop.select(F.col("src").alias("node"), F.col("dst").alias("parent"), F.lit(1.0).alias("value")), most=9)
+
+
+def test_open_references(spark, tmp_path):
+    """References that no semicolon ends, as where a title is cut, stay as they are written."""
+    texts = ["cut &amp", "&&&amp &amp; &lt;b&gt; &quot", "a &copy 2 &copy; &middot &middot;", "&amp;amp; &amplt; &am"]
+    rows = [(k, f"http://h/{k}", f'<html><head><title>{t}</title></head><body><h1>{t}</h1><p>{t} <a href="/x?a=1&amp;b=2">{t}</a></p></body></html>') for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert oracle.differences(catalogue.QUERIES["html_markdown"](spark, str(tmp_path)), oracle.connection(str(tmp_path)), catalogue.ORACLES["html_markdown"]) == ""
