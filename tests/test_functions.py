@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import random
+import time
 
 from pyspark.sql import functions as F
 
 from lakeloom.functions import numbers as nm, text as tx
-from lakeloom.operators import duplicates, pytext, ranges, reconcile, trees, webpages
+from lakeloom.operators import duplicates, pagelayout, pytext, ranges, reconcile, trees, webpages
 
 
 def one(spark, column):
@@ -133,3 +135,28 @@ def test_generations(spark):
         (1, "InvokeAI", "Prompt"): "old", (1, "InvokeAI", "Seed"): "3", (2, "SwarmUI", "Prompt"): "swarm", (2, "SwarmUI", "Steps"): "4", (3, "Fooocus", "Prompt"): "f",
         (7, "Midjourney", "Prompt"): "a cat", (7, "Midjourney", "Version"): "6", (7, "Midjourney", "--tile"): "on",
     }
+
+
+def test_settled_boxes():
+    """Against plain pushing: the first obstacle by top, again and again; and a network of one column in seconds."""
+
+    def plain(rows, reach, margin, gap):
+        done, ys = [], []
+        for x, y, h in rows:
+            beside = sorted((top, bottom) for left, top, bottom in done if abs(left - x) < reach)
+            while (under := next((bottom for top, bottom in beside if y < bottom + margin and top < y + h + margin), None)) is not None:
+                y = under + gap
+            done.append((x, y, y + h))
+            ys.append(y)
+        return ys
+
+    rng = random.Random(4)
+    for k in range(400):
+        margin, gap = 8.0, rng.choice([8.0, 36.0, 11.0])
+        x = [lambda: 0.0, lambda: rng.choice([0.0, 50.0, 108.0, -30.0]), lambda: rng.uniform(-200, 200)][k % 3]
+        h = rng.choice([lambda: 5.0, lambda: rng.uniform(0, 40), lambda: rng.choice([-20.0, -8.0, 1.0, 30.0])])
+        rows = sorted(((x(), float(rng.randrange(300)), h()) for _ in range(30)), key=lambda r: r[1])
+        boxes = pagelayout._Boxes(108.0, margin, gap, min(r[2] for r in rows))
+        assert [boxes.place(*r) for r in rows] == plain(rows, 108.0, margin, gap)
+    boxes, began = pagelayout._Boxes(108.0, 8.0, 8.0, 5.0), time.monotonic()
+    assert [boxes.place(0.0, k / 1000, 5.0) for k in range(30_000)] == [13.0 * k for k in range(30_000)] and time.monotonic() - began < 30
