@@ -11,9 +11,10 @@ Pieces have the space mark at their head or are made of marks, so the lattice fa
 independent stretches at the marks (and at characters that no longer piece holds). Each stretch is searched
 once per worker, all new ones of a batch together in numpy arrays: a trie walk from all characters at once
 gives the edges, the lattice is cut again wherever no edge crosses, and the Viterbi pass takes the nodes
-at equal distance from their cut in one step. The two best segmentations, which the query reports, need of the
-open hypotheses only the best: the least loss at any node of the best path by entering it over the second
-edge, kept while the search walks back. More than two come from the queue of :meth:`Lattice.nbest`.
+at equal distance from their cut in one step, keeping the two best edges into each. The two best segmentations, which
+the query reports, come from the backward search over these: each part has an agenda of open hypotheses, and a round takes
+the best from the agendas of all parts at once (:meth:`Lattice._two_best`); long parts have a heap each. More than two
+come from the queue of :meth:`Lattice.nbest`, which looks all edges up.
 
 Memory is linear in the longest text of a batch (about 60 bytes a character); edges exist for WINDOW characters at a time.
 """
@@ -21,6 +22,7 @@ Memory is linear in the longest text of a batch (about 60 bytes a character); ed
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,22 +37,25 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import slices, texts_in_batches
 
 MARK = "▁"
-#: Characters of stretches that a worker remembers before it starts over.
+#: Characters of stretches that a worker remembers before it lets go of those not met since it last did.
 REMEMBERED = 1_000_000
 #: Characters whose edges are held at once.
 WINDOW = 1 << 18
+#: Characters of a part whose agenda is an array, and parts that are searched in the same rounds; a longer part has a heap.
+SHORT, ABREAST = 48, 1 << 15
 
 
 class Paths(NamedTuple):
-    """Outcome of the forward pass and the walk back over a run of stretches."""
+    """Outcome of the forward pass over a run of stretches: of the node after each character, and of the independent parts."""
 
     first: np.ndarray  # whether no edge crosses into the character from before
-    score: np.ndarray  # of the best way from the last cut to the node after each character
-    count: np.ndarray  # of pieces on that way
-    piece: np.ndarray  # that the way ends with, -1 for a character's bytes
-    on: np.ndarray  # whether the node is on the best path
+    score: np.ndarray  # of the best way from the last cut to the node
+    count: np.ndarray  # of pieces on the best way and on the one over the second best edge: two rows
+    length: np.ndarray  # of the best and the second best edge: two rows
+    piece: np.ndarray  # of these edges, -1 for a character's bytes: two rows
+    loss: np.ndarray  # by entering over the second best edge, infinite where there is none
     heads: np.ndarray  # first characters of the independent parts
-    lead: np.ndarray  # of each part's best path over the second best, infinite where there is none
+    ends: np.ndarray  # last characters
 
 
 class Lattice:
@@ -85,6 +90,7 @@ class Lattice:
         self.stretch = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
         mark = self.byte_ids[list(MARK.encode())].astype("<u4").tobytes()
         self.known: dict[str | None, tuple[bytes, float, float]] = {None: (mark, self.unknown, float("inf"))}
+        self.older: dict[str | None, tuple[bytes, float, float]] = {}
         self.held = 0
 
     def _plant(self) -> None:
@@ -145,13 +151,13 @@ class Lattice:
         return tuple(np.concatenate(c) for c in zip(*found[::-1], strict=True))
 
     def _paths(self, points: np.ndarray, heads: np.ndarray, n_bytes: np.ndarray) -> Paths:
-        """Best paths of stretches that begin at ``heads``: forward Viterbi, then the search's walk back."""
+        """Forward Viterbi over stretches that begin at ``heads``."""
         n = len(points)
         stop = np.repeat(np.r_[heads[1:], n], np.diff(np.r_[heads, n]))
         first = np.zeros(n, bool)
         first[heads] = True
-        score, count = np.zeros(n, self.kind), np.zeros(n, np.int64)
-        length, piece, lead = np.zeros(n, np.int8), np.zeros(n, np.int32), np.full(n, np.inf)
+        score, count = np.zeros(n, self.kind), np.zeros((2, n), np.int64)
+        length, piece, loss = np.zeros((2, n), np.int8), np.zeros((2, n), np.int32), np.full(n, np.inf)
         lowest = np.iinfo(np.int64).min if self.kind is np.int64 else -np.inf
         for lo in range(0, n, WINDOW):
             hi = min(n, lo + WINDOW)
@@ -180,27 +186,114 @@ class Lattice:
                 g, size, node = new[a:b] - x, sizes[a:b], end[new[a:b]]
                 before = start[x:y] - 1
                 v = own[x:y] + np.where(fresh[x:y], 0, score[before])
-                c = more[x:y] + np.where(fresh[x:y], 0, count[before])
-                best = np.maximum.reduceat(v, g)
-                c_tied = np.where(v == np.repeat(best, size), c, n + 1 << 2)
-                least = np.minimum.reduceat(c_tied, g)
-                pick = np.minimum.reduceat(np.where(c_tied == np.repeat(least, size), np.arange(y - x), y - x), g)
-                score[node], count[node], length[node], piece[node] = best, least, long[x + pick], which[x + pick]
-                v[pick] = lowest
-                second = np.maximum.reduceat(v, g)
-                two = second > lowest
-                lead[node[two]] = (best - second)[two]
+                c = more[x:y] + np.where(fresh[x:y], 0, count[0, before])
+                best, pick = self._pick(v, c, g, size)
+                score[node], count[0, node], length[0, node], piece[0, node] = best, c[pick], long[x + pick], which[x + pick]
+                two = np.flatnonzero(size > 1)
+                if len(two):
+                    v[pick] = lowest
+                    rows = np.repeat(size > 1, size)
+                    v, c, at_edge, size, node = v[rows], c[rows], np.flatnonzero(rows) + x, size[two], node[two]
+                    second, pick = self._pick(v, c, np.cumsum(size) - size, size)
+                    loss[node] = best[two] - second
+                    count[1, node], length[1, node], piece[1, node] = c[pick], long[at_edge[pick]], which[at_edge[pick]]
         parts = np.flatnonzero(first)
-        ends = np.r_[parts[1:], n] - 1
-        on, least_lead = np.zeros(n, bool), np.full(len(parts), np.inf)
-        p, k = ends, np.arange(len(parts))
-        while len(p):
-            on[p] = True
-            least_lead[k] = np.minimum(least_lead[k], lead[p])
-            p = p - length[p]
-            left = p >= parts[k]
-            p, k = p[left], k[left]
-        return Paths(first, score, count, piece, on, parts, least_lead)
+        return Paths(first, score, count, length, piece, loss, parts, np.r_[parts[1:], n] - 1)
+
+    @staticmethod
+    def _pick(v: np.ndarray, c: np.ndarray, groups: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest value of each group, and the first row of those that have it with the least count."""
+        best = np.maximum.reduceat(v, groups)
+        c_tied = np.where(v == np.repeat(best, size), c, np.iinfo(np.int64).max)
+        least = np.minimum.reduceat(c_tied, groups)
+        return best, np.minimum.reduceat(np.where(c_tied == np.repeat(least, size), np.arange(len(v)), len(v)), groups)
+
+    def _two_best(self, paths: Paths) -> tuple[np.ndarray, np.ndarray]:
+        """The backward A-star search for two segmentations of each part: the nodes of the best, and its lead over the second (infinite: none).
+
+        A hypothesis is a node, the rank of the edge into it (0 or 1) and the hypothesis that it goes on from. Its priority is exact, as the
+        Viterbi score is: the loss against the best segmentation, then the number of pieces, then the nearness to the start. Taken from the
+        agenda, it makes way for the second edge into its node and for the best edge into its own start; at the part's start it is a result.
+        Two results need edges of no higher rank.
+        """
+        on, lead = np.zeros(len(paths.score), bool), np.full(len(paths.heads), np.inf)
+        size = paths.ends - paths.heads + 1
+        order = np.argsort(size, kind="stable")
+        alone, short = np.searchsorted(size[order], (1, SHORT), "right").tolist()
+        on[paths.ends[order[:alone]]] = True  # one character has one edge
+        for a in range(alone, short, ABREAST):
+            self._abreast(paths, order[a : min(short, a + ABREAST)], on, lead)
+        for part in order[short:].tolist():
+            self._by_heap(paths, part, on, lead)
+        return on, lead
+
+    def _abreast(self, paths: Paths, parts: np.ndarray, on: np.ndarray, lead: np.ndarray) -> None:
+        """The search for short parts, a round for all of them at a time; a row of the agenda is a part's, a taken entry has infinite loss."""
+        where = paths.ends[parts] * 2  # node and rank
+        loss, total, at, origin = np.zeros((len(parts), 1)), paths.count[0, where >> 1][:, None], where[:, None], np.full((len(parts), 1), -1)
+        results = np.zeros(len(parts), np.int8)
+        taken_at, taken_from, made, last = [], [], 0, []
+        most = np.iinfo(np.int64).max
+        while len(parts):
+            rows = np.arange(len(parts))
+            if loss.shape[1] == 1:
+                slot = np.zeros(len(parts), np.int64)
+            else:
+                tied = loss == loss.min(axis=1)[:, None]
+                pieces = np.where(tied, total, most)
+                slot = np.where(pieces == pieces.min(axis=1)[:, None], at, most).argmin(axis=1)
+            now, n, code, source = loss[rows, slot], total[rows, slot], at[rows, slot], origin[rows, slot]
+            node, rank = code >> 1, code & 1
+            mine = made + rows
+            made += len(rows)
+            taken_at.append(node)
+            taken_from.append(source)
+            start = node - paths.length[rank, node]
+            ended = start < paths.heads[parts]
+            # The second edge into the node takes a new column, the best edge into its start the entry's own place.
+            more = np.where(rank == 0, paths.loss[node], np.inf)
+            loss, total = np.c_[loss, now + more], np.c_[total, n - paths.count[0, node] + paths.count[1, node]]
+            at, origin = np.c_[at, node * 2 + 1], np.c_[origin, source]
+            loss[rows, slot], at[rows, slot], origin[rows, slot] = np.where(ended, np.inf, now), start * 2, mine
+            last.append(mine[ended & (results == 0)])
+            second = ended & (results == 1)
+            lead[parts[second]] = now[second]
+            results += ended
+            left = np.flatnonzero((results < 2) & (loss.min(axis=1) < np.inf))
+            if len(left) < len(parts):
+                parts, results = parts[left], results[left]
+                loss, total, at, origin = loss[left], total[left], at[left], origin[left]
+        if made:
+            taken, source, k = np.concatenate(taken_at), np.concatenate(taken_from), np.concatenate(last)
+            while len(k):
+                on[taken[k]] = True
+                k = source[k]
+                k = k[k >= 0]
+
+    def _by_heap(self, paths: Paths, part: int, on: np.ndarray, lead: np.ndarray) -> None:
+        """The search for one long part."""
+        head, end = int(paths.heads[part]), int(paths.ends[part])
+        loss, (length, length2), (count, count2) = (x[..., head : end + 1].tolist() for x in (paths.loss, paths.length, paths.count))
+        queue, results = [(0.0, count[-1], end - head, 0, -1)], 0
+        taken_at, taken_from = [], []
+        while queue and results < 2:
+            now, n, node, rank, source = heapq.heappop(queue)
+            mine = len(taken_at)
+            taken_at.append(node)
+            taken_from.append(source)
+            if not rank and loss[node] < math.inf:
+                heapq.heappush(queue, (now + loss[node], n - count[node] + count2[node], node, 1, source))
+            start = node - (length2 if rank else length)[node]
+            if start >= 0:
+                heapq.heappush(queue, (now, n, start, 0, mine))
+                continue
+            results += 1
+            if results == 2:
+                lead[part] = now
+                continue
+            while mine >= 0:
+                on[head + taken_at[mine]] = True
+                mine = taken_from[mine]
 
     def search(self, stretches: list[str]) -> list[tuple[bytes, float, float]]:
         """Ids (32-bit, little-endian), score, and lead over the second best (infinite: none) of each stretch."""
@@ -212,8 +305,9 @@ class Lattice:
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         heads = np.cumsum(sizes) - sizes
         paths = self._paths(points, heads, n_bytes)
-        nodes = np.flatnonzero(paths.on)
-        piece = paths.piece[nodes]
+        on, leads = self._two_best(paths)
+        nodes = np.flatnonzero(on)
+        piece = paths.piece[0, nodes]  # the best segmentation has best edges alone
         n_ids = np.where(piece < 0, n_bytes[nodes], 1)
         ids = np.repeat(piece, n_ids)
         unknown = "".join(map(whole.__getitem__, nodes[piece < 0].tolist())).encode("utf-8", "surrogatepass")
@@ -222,9 +316,8 @@ class Lattice:
         raw = ids.tobytes()
         cut = 4 * np.r_[0, np.cumsum(n_ids)][np.searchsorted(nodes, np.r_[heads, len(points)])]
         part = np.searchsorted(paths.heads, heads)
-        ends = np.r_[paths.heads[1:], len(points)] - 1
-        score = np.add.reduceat(paths.score[ends], part).astype(np.float64).tolist()
-        lead = np.minimum.reduceat(paths.lead, part).tolist()
+        score = np.add.reduceat(paths.score[paths.ends], part).astype(np.float64).tolist()
+        lead = np.minimum.reduceat(leads, part).tolist()
         cut = cut.tolist()
         return [(raw[cut[i] : cut[i + 1]], score[i], lead[i]) for i in range(len(stretches))]
 
@@ -248,9 +341,8 @@ class Lattice:
         n_bytes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
         paths = self._paths(points, np.zeros(1, np.int64), n_bytes)
         part = np.cumsum(paths.first) - 1
-        ends = np.r_[paths.heads[1:], len(points)] - 1
-        best = np.r_[0, paths.score + np.r_[0, np.cumsum(paths.score[ends])][part]].tolist()
-        count = np.r_[0, paths.count + np.r_[0, np.cumsum(paths.count[ends])][part]].tolist()
+        best = np.r_[0, paths.score + np.r_[0, np.cumsum(paths.score[paths.ends])][part]].tolist()
+        count = np.r_[0, paths.count[0] + np.r_[0, np.cumsum(paths.count[0, paths.ends])][part]].tolist()
 
         @lru_cache(1 << 16)
         def into(at: int) -> list[tuple[float, int, int, tuple[int, ...], float]]:
@@ -293,16 +385,17 @@ class Lattice:
         """For each text its ids (32-bit, little-endian), score, and how far the second best segmentation scores below (infinite: none)."""
         known = self.known
         cut = [self.stretches(t) for t in texts]
-        fresh = list(set().union(*cut).difference(known)) if cut else []
+        unknown = set().union(*cut).difference(known)
+        again = unknown.intersection(self.older)
+        known.update((s, self.older[s]) for s in again)
+        fresh = list(unknown - again)
         known.update(zip(fresh, self.search(fresh), strict=True))
-        self.held += sum(map(len, fresh))
+        self.held += sum(map(len, unknown))
         for parts in cut:
             ids, scores, leads = zip(*map(known.__getitem__, parts), strict=True)
             yield b"".join(ids), sum(scores), min(leads)
         if self.held > REMEMBERED:
-            known.clear()
-            known[None] = (self.byte_ids[list(MARK.encode())].astype("<u4").tobytes(), self.unknown, float("inf"))
-            self.held = 0
+            self.older, self.known, self.held = known, {None: known[None]}, 0
 
     def best(self, text: str) -> tuple[bytes, float, float]:
         return next(iter([*self.best_of([text])]))

@@ -312,3 +312,32 @@ def test_quality_brute_force(spark, docs, texts):
 def test_spanning_stars():
     a, b = common.spanning_stars(np.array([5, 3, 9]), np.array([3, 1, 8]))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(3, 1), (5, 1), (9, 8)]
+
+
+def test_two_best_come_from_agendas(monkeypatch):
+    """The rows' two best segmentations: both forms of the agenda against the lattice's queue, stretch by stretch, and no result without a search."""
+    rng = random.Random(6)
+    lattice = pieces.Lattice(P.path("piece_bpe_32k.model"))
+    stretches = ["▁" + "".join(rng.choices("abcdeéthinos", k=k)) for k in (*range(1, 40), 120, 300)] + ["▁▁▁", "🙂x", "a" * 100]
+    want = [lattice.nbest(s, 2) for s in stretches]
+    for short in (pieces.SHORT, 0, 1000):
+        monkeypatch.setattr(pieces, "SHORT", short)
+        for (ids, score, lead), best in zip(lattice.search(stretches), want, strict=True):
+            assert (np.frombuffer(ids, "<u4").tolist(), score) == (list(best[0][1])[::1], best[0][0])
+            assert lead == (best[0][0] - best[1][0] if len(best) > 1 else float("inf"))
+    searched = []
+    monkeypatch.setattr(pieces.Lattice, "_two_best", lambda self, paths, f=pieces.Lattice._two_best: searched.append(1) or f(self, paths))
+    lattice.best("never met before: qzxv")
+    assert searched
+
+
+def test_remembered_stretches_stay(monkeypatch):
+    """What is met again after the worker lets go of old stretches is not searched again."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    lattice = pieces.Lattice(P.path("piece_bpe_32k.model"))
+    searched = []
+    monkeypatch.setattr(pieces.Lattice, "search", lambda self, s, f=pieces.Lattice.search: searched.extend(s) or f(self, s))
+    for k in range(12):
+        assert lattice.best(f"often word{k}")[0] == pieces.Lattice(P.path("piece_bpe_32k.model")).best(f"often word{k}")[0]
+    assert searched.count("▁often") == 12 + 1  # once by the lasting lattice
+    assert len(lattice.known) + len(lattice.older) < 20
