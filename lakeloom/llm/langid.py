@@ -12,6 +12,7 @@ per bucket and language; a worker looks up that table for each subword.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -185,15 +186,22 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """The model that the labelled rows of ``docs`` teach.
 
     Null texts, texts without a letter, null labels and held-out rows teach nothing; very long texts count whole, repeated ones once.
-    An empty table, or one without labels, gives a model of no languages.
+    An empty table, or one without labels, gives a model of no languages. One task learns, the sample is bounded; only the model
+    reaches the driver.
     """
-    examples = []
-    for batch in sample(docs, id_col, text_col, lang_col, most).toArrow().to_batches():
-        buckets, counts = batch.column(2), batch.column(3)
-        cuts = buckets.offsets.to_numpy()
-        where, n = buckets.values.to_numpy(), counts.values.to_numpy()
-        examples += [(h, lang, where[i:j], n[i:j]) for h, lang, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return learnt([(w, c, lang) for _, lang, w, c in sorted(examples, key=lambda e: (e[1], e[0]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            buckets, counts = batch.column(2), batch.column(3)
+            cuts = buckets.offsets.to_numpy()
+            where, n = buckets.values.to_numpy(), counts.values.to_numpy()
+            examples += [(h, lang, where[i:j], n[i:j]) for h, lang, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        model = learnt([(w, c, lang) for _, lang, w, c in sorted(examples, key=lambda e: (e[1], e[0]))])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample(docs, id_col, text_col, lang_col, most).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else learnt([])
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -255,3 +256,11 @@ def test_run_is_its_stages(spark, sf, tmp_path, docs):
     assert out.where(F.col("exact")).count() == out.count() > 60
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "mix", "encode"]
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_learning_stays_off_the_driver(spark, docs, monkeypatch):
+    """The model is learnt in a worker; the driver gets the model alone."""
+    where = lambda rows: langid.Model((str(os.getpid()), str(len(rows))), np.zeros((1, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    monkeypatch.setattr(langid, "learnt", where)
+    process, n = langid.fitted(docs).langs
+    assert int(process) != os.getpid() and int(n) > 1
