@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import langid, linearrow, linededup, mixing, pieces, quality, secretscan, simhash, sql, tokencount, tokenfile, vecdedup
+from lakeloom.llm import langid, linededup, mixing, pieces, quality, secretscan, simhash, sql, tokencount, tokenfile, vecdedup
 from lakeloom.llm.common import spread
 
 
@@ -49,9 +49,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of whole texts of which a near copy is kept elsewhere: 9-character shingles, similarity 0.8.
 
-    The steps in SQL functions exceed the budget of CPU seconds (README), so the query takes those in Arrow batches.
+    All steps are SQL functions, as is asked for; they exceed the budget of CPU seconds (README).
     """
-    found = linededup.decisions(_documents(spark, sf_dir), steps=linearrow.ARROW)
+    found = linededup.decisions(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 

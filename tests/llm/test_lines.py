@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from lakeloom.llm import linearrow, linededup
+from lakeloom.llm import linearrow, linededup, queries
 
 STEPS = {"sql": linededup.NATIVE, "arrow": linearrow.ARROW}
 
@@ -102,3 +102,9 @@ def test_shingle_sets():
     want = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in lines]
     assert [len(s) for s in sets] == [len(s) for s in want]
     assert [[len(a & b) for a in sets] for b in sets] == [[len(a & b) for a in want] for b in want]
+
+
+def test_query_runs_no_python(spark, sf, monkeypatch):
+    """Line de-duplication is asked for in DataFrame or SQL operations."""
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", None)
+    assert queries.op3_line_dedup(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
