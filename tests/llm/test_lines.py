@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -108,3 +109,14 @@ def test_query_runs_no_python(spark, sf, monkeypatch):
     """Line de-duplication is asked for in DataFrame or SQL operations."""
     monkeypatch.setattr(type(spark.range(0)), "mapInArrow", None)
     assert queries.op3_line_dedup(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    """A line is not copied for each of its shingles; this took minutes while it was."""
+    line = "".join(random.Random(14).choices("abcdefghijklmnopqrstuvwxyz ", k=600_000)).strip()
+    texts = spark.createDataFrame([(1, line), (2, line[:-9] + "."), (3, line[::-1])], "lid bigint, line string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+    began = time.monotonic()
+    sketches = linededup.sketched(texts, 9)
+    assert [tuple(r) for r in linededup.decided(pairs, texts, sketches, 9, 0.8).collect()] == [(1, 2)]
+    assert time.monotonic() - began < 45
